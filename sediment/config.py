@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-#: Directories, file names and extensions that decide whether a file is analysed.
-EXCLUDED_DIRS = ("node_modules", ".git", "__pycache__", "venv", ".venv", "env", "dist", "build", ".next", ".nuxt", "coverage", ".pytest_cache", ".mypy_cache", ".tox", "vendor", "target", ".idea", ".vscode", "bower_components", ".cache", "out", ".gradle", "site-packages", ".eggs")
-EXCLUDED_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum", ".DS_Store")
+#: Directories and file names that are left out.
+EXCLUDED_DIRS = ("node_modules", ".git", "__pycache__", ".pytest_cache", "dist", "build", ".next", ".nuxt", "out", "venv", ".venv", "env", ".env", "vendor", "target", ".cargo", "coverage", ".nyc_output", "htmlcov", ".tox", "site-packages", ".mypy_cache", ".ruff_cache", ".hypothesis")
+EXCLUDED_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "go.sum", "go.mod", ".DS_Store", "Thumbs.db")
 #: Language by extension.
-LANGUAGES = {".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".c": "C", ".h": "C", ".cpp": "C++", ".hpp": "C++", ".md": "Markdown", ".yml": "YAML", ".yaml": "YAML", ".toml": "TOML"}
-PARSEABLE = ("Python", "JavaScript", "TypeScript", "Go", "Rust", "Java", "C", "C++")
+LANGUAGES = {".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".c": "C", ".h": "C/C++ Header", ".cpp": "C++", ".hpp": "C++ Header", ".md": "Markdown", ".yml": "YAML", ".yaml": "YAML", ".toml": "TOML"}
+PARSEABLE = ("Python", "JavaScript", "TypeScript", "Go", "Rust", "Java", "C", "C++", "C/C++ Header", "C++ Header")
 CHUNKABLE = ("Python", "JavaScript", "TypeScript")
 NOT_CODE = ("Markdown", "YAML", "TOML", "Unknown")
 MAX_FILE_BYTES = 150_000

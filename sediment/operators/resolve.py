@@ -43,7 +43,7 @@ def is_internal(imports: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise(False)
     )
     paths = files.select("repo", F.col("path").alias("p")).distinct()
-    prefixes = paths.select("repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", "/"))), lambda k: F.substring_index("p", "/", k) if isinstance(k, int) else F.array_join(F.slice(F.split("p", "/"), 1, k), "/"))).alias("p")).distinct()
+    prefixes = paths.select("repo", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", "/"))), lambda k: F.array_join(F.slice(F.split("p", "/"), 1, k), "/"))).alias("p")).distinct()
     keyed = imports.withColumn("module_key", F.when(lang == "Go", last).when(lang == "Java", java))
     py = imports.where("language = 'Python'").select("file_id", "ord", "repo", F.explode(F.split(m, ",")).alias("one")).select("file_id", "ord", "repo", F.explode(_ended(F.array(F.replace(F.trim("one"), F.lit("."), F.lit("/"))), PY_ENDINGS)).alias("p"))
     py = py.join(paths, ["repo", "p"], "left_semi").select("file_id", "ord").distinct().withColumn("py_hit", F.lit(True))
