@@ -64,8 +64,9 @@ def risk_distribution(scored: DataFrame) -> DataFrame:
 
 
 def repo_mean(scored: DataFrame) -> DataFrame:
-    """Mean of the files' mean complexities that are not zero."""
-    return scored.groupBy("repo").agg(F.round(F.coalesce(F.avg(F.when(F.col("avg_complexity") > 0, F.col("avg_complexity"))), F.lit(0.0)), 2).alias("mean_complexity"))
+    """Mean of the files' mean complexities that are not zero; sums are whole hundredths, so their order does not matter."""
+    hundredths = F.when(F.col("avg_complexity") > 0, F.round(F.col("avg_complexity") * 100).cast("bigint"))
+    return scored.groupBy("repo").agg(F.round(F.coalesce(F.try_divide(F.sum(hundredths), F.count_if(F.col("avg_complexity") > 0)), F.lit(0.0)) / 100, 2).alias("mean_complexity"))
 
 
 def by_risk(scored: DataFrame) -> DataFrame:
