@@ -214,7 +214,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """a, b, a_start, b_start, n_chars: verified stretches of at least ``length`` equal characters, a < b (within ``length`` around an anchor)."""
     docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
     # both uses of the marks take all columns of one exchange, so that it is made once and reused
-    marks = occurrences(docs, length).repartition("name")
+    marks = occurrences(docs, length).where("name IS NOT NULL AND doc_id IS NOT NULL").repartition("name")
     shared = marks.groupBy("name").agg(F.count("place").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name", "n")
     wanted = marks.join(shared, "name").groupBy("doc_id").agg(F.collect_set(F.struct("name", "place", "n")).alias("marks"))
     rows = filed(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"), length)
