@@ -23,7 +23,7 @@ def local_tree(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace("path", f"^.*?{base.lstrip('/')}/", "")
     rows = files.select(rel.alias("path"), F.col("length").alias("size_bytes"), "content")
-    return rows.where(S.included(F.col("path"), F.col("size_bytes"))).select("path", "size_bytes", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return rows.where(S.included(F.col("path"), F.col("size_bytes"))).select("path", "size_bytes", F.decode("content", "UTF-8").alias("content"))
 
 
 class TreeSource(DataSource):
@@ -67,6 +67,12 @@ class _TreeReader(DataSourceReader):
                     yield (n if rel == "." else f"{rel}/{n}", kind, size, None)
 
 
+def register(spark: SparkSession) -> None:
+    """Make ``repo_tree`` known, with its filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TreeSource)
+
+
 def blobs(tree: DataFrame) -> DataFrame:
     return tree.where("type = 'blob'")
 
