@@ -70,8 +70,8 @@ _SAME = {
     "Python": {"OP": "// % & ^ << >>", "PM": "+ -", "BOOL": "and or", "COMP": "== != < > <= >=", "AOP": "+= -= *= /= //= %= **= >>= <<= &= ^= |= @="},
     "JavaScript": {"BIN": "** / % == != === !== <= >= << ^ && || ??", "PM": "+ -", "INC": "++ --", "UN": "~", "AOP": "+= -= *= /= %= **= >>= >>>= <<= &= ^= |= &&= ||= ??="},
     "Go": {"OP": "/ % == != < <= > >= << >> &^ && ||", "PM": "+ - ^", "INC": "++ --", "AOP": "+= -= *= /= %= &= |= ^= <<= >>= &^="},
-    "Java": {"OP": "* / % == != <= >= << ^ && ||", "PM": "+", "INC": "++ --", "AOP": "+= -= *= /= %= &= |= ^= <<= >>= >>>="},
-    "Rust": {"OP": "/ % == != <= >= << ^ | ||", "AOP": "+= -= *= /= %= &= |= ^= <<= >>=", "RANGE": "..= ..."},
+    "Java": {"OP": "/ % == != <= >= << ^ && ||", "PM": "+", "INC": "++ --", "AOP": "+= -= *= /= %= &= |= ^= <<= >>= >>>="},
+    "Rust": {"OP": "/ % == != <= >= << ^", "AOP": "+= -= *= /= %= &= |= ^= <<= >>=", "RANGE": "..= ..."},
     "C": {"OP": "/ % == != <= >= << ^ | ||", "PM": "+ -", "INC": "++ --", "AOP": "+= -= *= /= %= &= |= ^= <<= >>="},
 }
 _SAME["TypeScript"], _SAME["C++"] = _SAME["JavaScript"], _SAME["C"]
@@ -187,8 +187,11 @@ class Kinds(dict):
 
     def fields(self, body: str) -> bool:
         quote = 3 if body[:3] in ('"""', "'''") else 1
-        body, i = body[quote:-quote].replace("{{", "").replace("}}", ""), 0
+        body, i = body[quote:-quote], 0
         while i < len(body):
+            if body[i : i + 2] in ("{{", "}}"):
+                i += 2
+                continue
             if body[i] == "}":
                 return False
             if body[i] == "{":

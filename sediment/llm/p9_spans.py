@@ -241,7 +241,11 @@ def found(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_chars, n_shared, share, n_partners of every document with a text: how much of it lies in a span that stands elsewhere too."""
+    """doc_id, n_chars, n_shared, share, n_partners of every document with a text: how much of it lies in a span that stands elsewhere too.
+
+    A run that repeats a short unit for much longer than ``length`` has anchors at its ends alone, so the middle of such a
+    run may not count; which documents share something is not affected.
+    """
     spans = shared_spans(documents, length)
     ends = spans.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.col("a_start").alias("s"), (F.col("a_start") + F.col("n_chars")).alias("e")).unionByName(
         spans.select(F.col("b").alias("doc_id"), F.col("a").alias("other"), F.col("b_start").alias("s"), (F.col("b_start") + F.col("n_chars")).alias("e"))
