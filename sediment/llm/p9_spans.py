@@ -12,6 +12,10 @@ than one document come with the text to their left and right, and each pair of t
 Names with more than HOT occurrences are split first: an occurrence is filed under the texts of STEP * k characters to its
 left and LENGTH - STEP * (k + 1) to its right, for all k, of which any true pair has one in common.
 
+Equal texts form classes, and only the document with the least id of a class is paired; ``found`` expands classes to pairs
+of documents.  A class of more than EXPAND documents is not expanded: its members are paired with its representative, which
+stands for it in other pairs, and ``members`` names them all.
+
 Defined results: null texts and texts below LENGTH share nothing; a document is not compared with itself; repeated rows count
 once; equal texts of at least LENGTH characters share everything.
 """
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 400
@@ -34,6 +38,7 @@ COVER = 110
 ANCHORS = 8
 HOT = 24
 STEP = 50
+EXPAND = 256
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LONG_RUN = np.uint64(0xD6E8FEB86659FD93)
@@ -210,13 +215,26 @@ def filed(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "file bigint, doc_id bigint, place int, left string, right string")
 
 
-def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """a, b, a_start, b_start, n_chars: verified stretches of at least ``length`` equal characters, a < b (within ``length`` around an anchor)."""
-    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
+def long_texts(documents: DataFrame, length: int) -> DataFrame:
+    return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") >= length)).select("doc_id", "text")
+
+
+def members(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, class_id (the least doc_id with an equal text), copies, of texts that have copies."""
+    keyed = long_texts(documents, length).select("doc_id", F.unhex(F.sha2("text", 256)).alias("key")).distinct()
+    sizes = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1")
+    return keyed.join(sizes, "key").select("doc_id", "class_id", "copies")
+
+
+def shared_spans(documents: DataFrame, length: int = LENGTH, same: DataFrame | None = None) -> DataFrame:
+    """a, b, a_start, b_start, n_chars: verified stretches of at least ``length`` equal characters of representatives a < b (within ``length`` around an anchor)."""
+    docs = long_texts(documents, length)
+    same = members(documents, length) if same is None else same
     # both uses of the marks take all columns of one exchange, so that it is made once and reused
     marks = occurrences(docs, length).where("name IS NOT NULL AND doc_id IS NOT NULL").repartition("name")
     shared = marks.groupBy("name").agg(F.count("place").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name", "n")
     wanted = marks.join(shared, "name").groupBy("doc_id").agg(F.collect_set(F.struct("name", "place", "n")).alias("marks"))
+    wanted = wanted.join(same.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti")
     rows = filed(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"), length)
     side = lambda s: rows.select("file", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "place", "left", "right")])
     pairs = side("a").join(side("b"), "file").where("doc_id_a < doc_id_b").drop("file")
@@ -237,7 +255,15 @@ def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def found(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id_a < doc_id_b: the texts have a common substring of at least ``length`` characters."""
-    return shared_spans(documents, length).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    same = members(documents, length)
+    pairs = shared_spans(documents, length, same).select("a", "b").distinct()
+    many = same.where((F.col("copies") <= EXPAND) | (F.col("doc_id") == F.col("class_id"))).groupBy("class_id").agg(F.collect_list("doc_id").alias("ids"))
+    side = lambda name: many.select(F.col("class_id").alias(name), F.col("ids").alias(f"{name}_ids"))
+    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.explode(F.coalesce("a_ids", F.array("a"))).alias("x"), F.coalesce("b_ids", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))
+    copies = many.select(F.explode("ids").alias("x"), F.col("ids").alias("ys")).select("x", F.explode("ys").alias("y")).where("x < y")
+    star = same.where(f"copies > {EXPAND} AND doc_id <> class_id")
+    every = wide.unionByName(copies).unionByName(star.select(F.col("class_id").alias("x"), F.col("doc_id").alias("y")))
+    return every.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -246,16 +272,19 @@ def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     A run that repeats a short unit for much longer than ``length`` has anchors at its ends alone, so the middle of such a
     run may not count; which documents share something is not affected.
     """
-    spans = shared_spans(documents, length)
+    same = members(documents, length)
+    spans = shared_spans(documents, length, same)
     ends = spans.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.col("a_start").alias("s"), (F.col("a_start") + F.col("n_chars")).alias("e")).unionByName(
         spans.select(F.col("b").alias("doc_id"), F.col("a").alias("other"), F.col("b_start").alias("s"), (F.col("b_start") + F.col("n_chars")).alias("e"))
     )
-    from pyspark.sql import Window
-
-    partners = ends.groupBy("doc_id").agg(F.count_distinct("other").alias("n_partners"))
+    size = same.where("doc_id = class_id").select(F.col("class_id").alias("other"), "copies")
+    partners = ends.select("doc_id", "other").distinct().join(size, "other", "left").groupBy("doc_id").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n_partners"))
     spots = ends.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy("doc_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     gain = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(w), F.lit(0))))
     covered = spots.withColumn("gain", gain).groupBy("doc_id").agg(F.sum("gain").alias("n_shared"))
     every = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
-    return every.join(covered, "doc_id", "left").join(partners, "doc_id", "left").select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), F.round(F.coalesce(F.try_divide("n_shared", "n_chars"), F.lit(0.0)), 6).alias("share"), F.coalesce("n_partners", F.lit(0)).cast("bigint").alias("n_partners"))
+    rows = every.join(same, "doc_id", "left").withColumn("rep", F.coalesce("class_id", "doc_id"))
+    rows = rows.join(covered.withColumnRenamed("doc_id", "rep"), "rep", "left").join(partners.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    n = F.when(F.col("copies").isNotNull(), F.col("n_chars")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("bigint")
+    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), n.alias("n_shared"), F.round(F.coalesce(F.try_divide(n, "n_chars"), F.lit(0.0)), 6).alias("share"), (F.coalesce("n_partners", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("bigint").alias("n_partners"))

@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: p8_leaks.exact(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_near": lambda s, d: p8_leaks.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_found": lambda s, d: p9_spans.found(t(s, d, "documents")),
+        "p9_members": lambda s, d: p9_spans.members(t(s, d, "documents")),
         "p9_shares": lambda s, d: p9_spans.shares(t(s, d, "documents")),
     }
 

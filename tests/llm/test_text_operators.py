@@ -193,3 +193,12 @@ def test_p9_hot_names(spark, monkeypatch):
     docs = [(i, rand(300) + (common if i % 2 else long) + rand(300)) for i in range(10)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {tuple(r) for r in p9_spans.found(df).collect()} == {(a, b) for a in range(0, 10, 2) for b in range(a + 2, 10, 2)}
+
+
+def test_p9_large_class(spark, monkeypatch):
+    monkeypatch.setattr(p9_spans, "EXPAND", 3)
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghij klmno") for _ in range(600))
+    df = spark.createDataFrame([(i, text) for i in range(6)] + [(9, "new " + text)], "doc_id bigint, text string")
+    assert {tuple(r) for r in p9_spans.found(df).collect()} == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
+    assert {(r["doc_id"], r["n_shared"], r["n_partners"]) for r in p9_spans.shares(df).where("doc_id > 4").collect()} == {(5, 600, 6), (9, 600, 6)}
