@@ -65,11 +65,3 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "/tmp/sediment-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder."""
-    spark = df.sparkSession
-    place = scratch(spark, name)
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)

@@ -13,9 +13,10 @@ rows give repeated results; texts of any length are read whole.
 from __future__ import annotations
 
 import base64
+import io
 import os
 import re
-import tempfile
+import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import scratch
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -146,10 +149,11 @@ class Lexicon:
         }
 
     @classmethod
-    def save(cls, arrays: dict[str, np.ndarray], path: str) -> None:
-        with open(path, "wb") as f:
-            for k in cls.FIELDS:
-                np.lib.format.write_array(f, arrays[k], version=(1, 0), allow_pickle=False)
+    def dump(cls, arrays: dict[str, np.ndarray]) -> bytes:
+        f = io.BytesIO()
+        for k in cls.FIELDS:
+            np.lib.format.write_array(f, arrays[k], version=(1, 0), allow_pickle=False)
+        return f.getvalue()
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -232,6 +236,19 @@ def own_words(ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
     return words
 
 
+def published(spark: SparkSession, data: bytes, stem: str) -> str:
+    """Write a file to the shared folder and hand it to the job's files, which executors fetch; returns its name there."""
+    name = f"{stem}-{uuid.uuid4().hex}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, stem)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, more: Iterable[str] = ()) -> DataFrame:
     """key, ids of each row."""
     spark = documents.sparkSession
@@ -240,11 +257,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", token
     for piece in more:
         for p in pieces(piece):
             words.setdefault(p.encode("utf-8"), merge(p.encode("utf-8"), ranks))
-    handle, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
-    os.close(handle)
-    Lexicon.save(Lexicon.build(words), path)
-    name = os.path.basename(path)
-    spark.sparkContext.addFile(path)
+    name = published(spark, Lexicon.dump(Lexicon.build(words)), "lexicon")
     shared = spark.sparkContext.broadcast(ranks)
     kind = documents.schema[key].dataType.simpleString()
 
