@@ -2,7 +2,7 @@
 
 Windows of WINDOW words of items and documents are embedded by a random walk that maps edit distance to Hamming distance
 (the walk repeats or passes on a symbol by random bits of step and symbol, so two texts with an edit fall into step again).
-Each of TABLES hash tables samples SAMPLE positions of the embedding, the same in all windows; windows with equal samples in
+Each of TABLES hash tables samples SAMPLE positions of the embedding by one of WALKS walks, the same in all windows; windows with equal samples in
 any table are candidates, and candidates are verified exactly.  Equal windows have equal embeddings, so they are found with
 certainty; a window within MAX_EDITS word edits is found with the recall that TABLES gives.  A document window that has more
 than MAX_EDITS words that no item uses cannot be within that distance and is not embedded; this loses nothing.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 WINDOW = 12
 MAX_EDITS = 2
-TABLES = 4
-SAMPLE = 6
+TABLES = 16
+SAMPLE = 4
+WALKS = 6
 WALK = 3 * WINDOW
 BLOCK = 5000
 _WORD = re.compile(r"[^\W_]+")
@@ -44,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def walk(windows: np.ndarray) -> np.ndarray:
+def walk(windows: np.ndarray, number: int = 0) -> np.ndarray:
     """Embeddings of rows of word names: at each step the symbol is written, and a bit of step and symbol says whether to pass on."""
     n, width = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
@@ -53,7 +54,7 @@ def walk(windows: np.ndarray) -> np.ndarray:
     for step in range(WALK):
         symbol = padded[rows, at]
         out[:, step] = symbol
-        bit = (_mix(symbol + np.uint64(0x9E3779B97F4A7C15 * (step + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)) & np.uint64(1)
+        bit = (_mix(symbol + np.uint64(0x9E3779B97F4A7C15 * (1000 * number + step + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)) & np.uint64(1)
         at = np.minimum(at + bit.astype(np.int64), width)
     return out
 
@@ -65,11 +66,12 @@ def positions(tables: int = TABLES, sample: int = SAMPLE, seed: int = 17) -> np.
 
 
 def keys(windows: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """One key per window and table."""
-    e = walk(windows)
+    """One key per window and table; the tables take turns with independent walks."""
+    walks = [walk(windows, i) for i in range(min(WALKS, len(tables)))]
     out = np.empty((len(windows), len(tables)), np.uint64)
     for t, pos in enumerate(tables):
         k = np.full(len(windows), np.uint64(t + 1))
+        e = walks[t % len(walks)]
         for p in pos:
             k = _mix(k * _M + e[:, p])
         out[:, t] = k
