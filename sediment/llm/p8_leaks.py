@@ -29,7 +29,7 @@ WINDOW = 12
 MAX_EDITS = 2
 TABLES = 16
 SAMPLE = 4
-WALKS = 6
+WALKS = 4
 WALK = 3 * WINDOW
 BLOCK = 5000
 _WORD = re.compile(r"[^\W_]+")
@@ -187,4 +187,4 @@ def leaks(documents: DataFrame, eval_items: DataFrame, edits: int = MAX_EDITS, t
 
 def exact(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id: at least WINDOW consecutive words are shared."""
-    return leaks(documents, eval_items).where("edits = 0").select("doc_id", "item_id")
+    return leaks(documents, eval_items, edits=0, tables=WALKS).select("doc_id", "item_id")
