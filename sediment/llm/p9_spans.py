@@ -1,14 +1,16 @@
 """Problem 9: long verbatim spans shared between documents.
 
-Texts are named by recompression.  Round 0 names tokens (runs of letters and digits up to MAX_TOKEN, other characters one by
-one); each later round names runs of an equal symbol and then pairs of neighbours that a random bit of each symbol sends
-left and right.  Names are hashes of what they stand for, so all partitions give equal texts equal names without a common
-dictionary, and equal substrings differ only in a few symbols at their ends.  Runs are named by at most RUN_CAP repetitions
-and runs of at least the sought length by a symbol of their own, so a run that a substring cuts does not hide it.
-
-An anchor is a symbol boundary together with the name of the symbols behind it that cover COVER characters; of ANCHORS
-neighbouring anchors the one with the least hash is kept, alike wherever the text stands.  Anchors whose name occurs in more
-than one document come with the text to their left and right, and each pair of them is verified character by character.
+Anchors are winnowed by character: every character with COVER characters behind it (itself included) has a name, the hash of
+those; every stretch of LENGTH characters holds LENGTH - COVER + 1 of them, of which the one with the least hash, and of
+equal ones the last, is an anchor.  That choice depends on the stretch alone, so documents that share a stretch of any kind
+of text have an anchor with the same name at the same place of it: no pair is lost.  (Recompression, which names symbols
+by their neighbourhood, gives no such bound: an end of a stretch can spoil symbols longer than the stretch.)
+
+Where a text repeats itself, equal names follow one another, one for each repetition.  Of stretches with equal text there
+only the first and the last give anchors; equal stretches have equal anchors, so no pair of documents is lost by that either.
+
+Anchors whose name occurs in more than one document come with the text to their left and right, and each pair of them is
+verified character by character.
 Names with more than HOT occurrences are split first: an occurrence is filed under the texts of STEP * k characters to its
 left and LENGTH - STEP * (k + 1) to its right, for all k, of which any true pair has one in common.
 
@@ -31,17 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 400
-ROUNDS = 4
-MAX_TOKEN = 32
-RUN_CAP = 32
 COVER = 110
-ANCHORS = 8
+BLOCK = 500_000
 HOT = 24
 STEP = 50
 EXPAND = 256
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LONG_RUN = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,106 +49,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ALNUM = np.zeros(0x110000, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
-_ALNUM[0xC0:0x250] = True
-_ALNUM[0x400:0x530] = True
-
-
 def _powers(b: np.uint64, n: int) -> np.ndarray:
     p = np.full(n, b, np.uint64)
     p[:1] = 1
     return np.multiply.accumulate(p)
 
 
-def names(codes: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, their first characters, their capped lengths, and places and names of long runs, of texts that lie one behind the other (ends: where each ends)."""
-    n = len(codes)
-    first = np.zeros(n + 1, bool)
-    first[ends] = True
-    first[0] = True
-    # round 0: tokens
-    word = _ALNUM[codes]
-    begin = first[:n] | ~word
-    begin[1:] |= ~word[:-1]
-    at = np.flatnonzero(begin)
-    size = np.diff(np.append(at, n))
-    long = np.repeat(size > MAX_TOKEN, size)
-    begin |= long
-    at = np.flatnonzero(begin)
-    size = np.diff(np.append(at, n))
-    inside = np.arange(n) - np.repeat(at, size)
-    powers = _powers(_B, MAX_TOKEN + 1)
-    symbol = _mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * powers[inside], at) + size.astype(np.uint64) * _B)
-    begin_doc = first[at]
-    capped = size.astype(np.int64)
-    end = np.append(at[1:], n)
-    run_at, run_name = [], []
-    for level in range(1, ROUNDS + 1):
-        # runs
-        new = np.ones(len(symbol), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | begin_doc[1:]
-        head = np.flatnonzero(new)
-        if len(head) < len(symbol):
-            count = np.diff(np.append(head, len(symbol)))
-            tail = head + count - 1
-            chars = end[tail] - at[head]
-            many = np.flatnonzero((count > 1) & (chars >= length))
-            run_at.append(at[head[many]])
-            run_name.append(_mix(symbol[head[many]] * _B ^ _LONG_RUN))
-            kept = np.minimum(count, RUN_CAP)
-            symbol = np.where(count > 1, _mix(symbol[head] * _B + kept.astype(np.uint64)), symbol[head])
-            capped = capped[head] * kept
-            at, end, begin_doc = at[head], end[tail], begin_doc[head]
-        # pairs
-        left = (_mix(symbol + np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(33)) & np.uint64(1) == 1
-        pair = np.flatnonzero(left[:-1] & ~left[1:] & ~begin_doc[1:])
-        if len(pair):
-            symbol[pair] = _mix(symbol[pair] * _B + _mix(symbol[pair + 1]) + np.uint64(level))
-            capped[pair] += capped[pair + 1]
-            end[pair] = end[pair + 1]
-            keep = np.ones(len(symbol), bool)
-            keep[pair + 1] = False
-            symbol, at, end, capped, begin_doc = symbol[keep], at[keep], end[keep], capped[keep], begin_doc[keep]
-    none = np.empty(0, np.uint64)
-    return symbol, at, capped, np.concatenate(run_at) if run_at else none.astype(np.int64), np.concatenate(run_name) if run_name else none
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least value of each ``width`` neighbours."""
+    n = len(x)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = x
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
 def anchors(texts: list[str], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place and name of the anchors of texts."""
     empty = np.empty(0, np.int64)
-    if not texts:
-        return empty, empty, empty.astype(np.uint64)
     raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes)
+    starts = ends - sizes
+    if not len(sizes) or sizes.max() < length:
+        return empty, empty, empty.astype(np.uint64)
     codes = np.concatenate(raw)
-    symbol, at, capped, run_at, run_name = names(codes, ends, length)
-    n = len(symbol)
-    doc = np.searchsorted(ends, at, "right")
-    cover = np.concatenate([[0], np.cumsum(capped)])
-    stop = np.searchsorted(cover, cover[:-1] + COVER)
-    ok = stop <= n
-    last_doc = doc[np.minimum(stop, n) - 1]
-    ok &= last_doc == doc
-    total = np.concatenate([[np.uint64(0)], np.cumsum((symbol + np.uint64(1)) * _powers(_B, n), dtype=np.uint64)])
-    name = _mix((total[np.minimum(stop, n)] - total[:-1]) * _powers(_B_INV, n))
-    order = np.where(ok, _mix(name), np.uint64(0xFFFFFFFFFFFFFFFF))
-    if n >= ANCHORS:
-        view = np.lib.stride_tricks.sliding_window_view(order, ANCHORS)
-        pick = np.unique(view.argmin(1) + np.arange(n - ANCHORS + 1))
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        pick = np.union1d(pick, head)
-    else:
-        pick = np.arange(n)
-    pick = pick[ok[pick]]
-    # the place is behind the first symbol: there a run that is cut on the left ends alike
-    place = np.append(at[1:], len(codes))[pick]
-    d = doc[pick]
-    key = name[pick]
-    if len(run_at):
-        d, place, key = np.concatenate([d, np.searchsorted(ends, run_at, "right")]), np.concatenate([place, run_at]), np.concatenate([key, run_name])
-    return d, place - (ends - sizes)[d], key
+    cover = min(COVER, length)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(_B, len(codes)), dtype=np.uint64)])
+    back = _powers(_B_INV, len(codes))
+    name = _mix((total[cover:] - total[:-cover]) * back[: len(codes) - cover + 1])
+    # the least hash, and of equal ones the last, as one number
+    order = (name & ~_LOW) | (_LOW - np.arange(len(name), dtype=np.uint64))
+    chosen = (_LOW - (_least(order, length - cover + 1) & _LOW)).astype(np.int64)
+    # stretches (by their first character) that lie in one text
+    stretch = np.flatnonzero(np.arange(len(chosen)) + length <= np.repeat(ends, sizes)[: len(chosen)])
+    chosen = chosen[stretch]
+    first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    place = chosen[first]
+    d = np.searchsorted(ends, place, "right")
+    key = name[place]
+    again = (key[1:] == key[:-1]) & (d[1:] == d[:-1])
+    if again.any():
+        repeats = np.append(again, False) | np.append(False, again)
+        anchor = np.repeat(np.arange(len(place)), np.diff(np.append(first, len(chosen))))
+        look = np.flatnonzero(repeats[anchor])
+        at = stretch[look]
+        text = _mix((total[at + length] - total[at]) * back[at])
+        by = np.lexsort((at, text, d[anchor[look]]))
+        other = (text[by][1:] != text[by][:-1]) | (d[anchor[look[by]]][1:] != d[anchor[look[by]]][:-1])
+        keep = ~repeats
+        keep[anchor[look[by[np.append(True, other) | np.append(other, True)]]]] = True
+        d, place, key = d[keep], place[keep], key[keep]
+    return d, place - starts[d], key
 
 
 def common_length(a: tuple[str, str], b: tuple[str, str]) -> tuple[int, int]:
@@ -176,11 +129,12 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                ids = np.asarray(part.column(0).to_pylist(), np.int64)
-                d, place, key = anchors(part.column(1).to_pylist(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[d]), pa.array(place.astype(np.int32))], names=["name", "doc_id", "place"])
+            ids, texts = np.asarray(b.column(0).to_pylist(), np.int64), b.column(1).to_pylist()
+            block = np.cumsum([len(t) for t in texts]) // BLOCK
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
+                if len(part):
+                    d, place, key = anchors(texts[part[0] : part[-1] + 1], length)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ids[part][d]), pa.array(place.astype(np.int32))], names=["name", "doc_id", "place"])
 
     return docs.mapInArrow(run, "name bigint, doc_id bigint, place int")
 

@@ -185,6 +185,37 @@ def test_p9_against_brute_force(spark):
     assert p9_spans.found(df.limit(0)).count() == 0
 
 
+def test_p9_any_text_has_a_common_anchor():
+    rng = random.Random(11)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    kinds = {
+        "digests": lambda: "\n".join(hexes(32) for _ in range(20)),
+        "names": lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(24, 32))) for _ in range(25)),
+        "blanks": lambda: "".join(rng.choice("abcdef") + rng.choice(" .-") * rng.randint(60, 300) for _ in range(9)),
+        "units": lambda: "".join((u := hexes(rng.randint(1, 40))) * (200 // len(u)) for _ in range(5)),
+        "prose": lambda: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(120)),
+    }
+    lost = dict.fromkeys(kinds, 0)
+    for kind, make in kinds.items():
+        for _ in range(60):
+            long = make()
+            k = rng.randrange(len(long) - 400)
+            shared = long[k : k + 400]
+            heads = [make()[: rng.randint(0, 300)] + rng.choice("XY") for _ in range(2)]
+            texts = [h + shared + rng.choice("ZW") + make()[:200] for h in heads]
+            d, place, name = p9_spans.anchors(texts)
+            at = lambda i: {n: {int(p) for p, m in zip(place[d == i], name[d == i]) if m == n} for n in set(name[d == i])}
+            a, b = at(0), at(1)
+            spans = [p9_spans.common_length((texts[0][max(0, p - 400) : p], texts[0][p : p + 400]), (texts[1][max(0, q - 400) : q], texts[1][q : q + 400])) for n in set(a) & set(b) for p in a[n] for q in b[n]]
+            lost[kind] += not any(x + y >= 400 for x, y in spans)
+    assert not any(lost.values()), lost
+
+
+def test_p9_repeats_give_few_anchors():
+    d, place, name = p9_spans.anchors([" " * 50_000, "ab " * 20_000, "x" * 399, "short"])
+    assert set(d.tolist()) == {0, 1} and len(d) < 20
+
+
 def test_p9_hot_names(spark, monkeypatch):
     monkeypatch.setattr(p9_spans, "HOT", 2)
     rng = random.Random(4)
