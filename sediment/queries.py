@@ -1,7 +1,8 @@
 """Queries of the analytics operators over the driver's tables, and their SQL.
 
 Queries run over whole tables.  Where imports of the tables do not form a graph of interest, graphs are built from keys:
-``file_edges`` (file n imports n div 2 and n div 3, acyclic) and ``trade`` (nations and their two best partners, cyclic).
+``file_edges`` (file n imports n div 2 and n div 3, acyclic), ``file_links`` (the same with keyed edges back, cyclic, in small
+components) and ``trade`` (nations and their two best partners, cyclic, 25 nodes at every size).
 """
 
 from __future__ import annotations
@@ -47,6 +48,13 @@ def file_edges(s: SparkSession, d: str) -> DataFrame:
     return e.join(n.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def file_links(s: SparkSession, d: str) -> DataFrame:
+    """file_edges, and edges back that close cycles of two (n of 7 mod 32 and n div 2) and three files (n of 13 mod 64, n div 2 and n div 4)."""
+    n = file_nodes(s, d)
+    back = n.select(F.expr("CASE WHEN node % 32 = 7 THEN node div 2 WHEN node % 64 = 13 THEN node div 4 END").alias("src"), F.col("node").alias("dst")).where("src IS NOT NULL").distinct()
+    return file_edges(s, d).unionByName(back.join(n.select(F.col("node").alias("src")), "src", "left_semi")).distinct()
+
+
 def trade_nodes(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
 
@@ -146,6 +154,16 @@ def queries() -> dict[str, Query]:
         "transitive_impact": lambda s, d: G.transitive_impact(file_edges(s, d)),
         "sampled_subset": lambda s, d: G.sampled(M.manifest(t(s, d, "files")).select(F.col("file_id").alias("node"), S.path_depth(F.col("path")).alias("depth")), file_edges(s, d), Y.file_counts(t(s, d, "symbols")).select(F.col("file_id").alias("node"), "n_symbols"), file_nodes(s, d).select("node", F.lit(0.0).alias("pagerank"))).select("node", "in_degree", "n_symbols"),
         "graph_summary": lambda s, d: sinks.graph_json(trade_nodes(s, d), trade(s, d)).select("n_nodes", "n_edges", "n_circular"),
+        # the costly graph operators over all files
+        "file_hubs": lambda s, d: G.hubs(file_nodes(s, d), file_links(s, d)),
+        "file_change_impact": lambda s, d: G.change_impact(file_nodes(s, d), file_links(s, d)).select("node", "in_degree", F.array_join("dependents", ",").alias("dependents"), "more"),
+        "file_node_style": lambda s, d: G.node_style(G.degrees(file_nodes(s, d), file_links(s, d)), G.circular_nodes(file_nodes(s, d), file_links(s, d))),
+        "file_circular_nodes": lambda s, d: G.circular_nodes(file_nodes(s, d), file_links(s, d)),
+        "file_components": lambda s, d: G.components(file_nodes(s, d), file_links(s, d)),
+        "file_cycles": lambda s, d: G.cycles(file_nodes(s, d), file_links(s, d)).select(F.array_join("nodes", ",").alias("nodes"), "length"),
+        "file_pagerank": lambda s, d: G.pagerank(file_nodes(s, d), file_links(s, d)),
+        "file_pagerank_rounds": lambda s, d: G.pagerank_rounds(file_nodes(s, d), file_links(s, d), ROUNDS),
+        "file_graph_summary": lambda s, d: sinks.graph_json(file_nodes(s, d), file_links(s, d)).select("n_nodes", "n_edges", "n_circular"),
         # scores
         "function_scores": lambda s, d: function_rows(s, d).select("file_id", "function", "complexity"),
         "file_complexity": lambda s, d: C.file_complexity(function_rows(s, d)),
@@ -248,6 +266,9 @@ def oracle_sql() -> dict[str, str]:
     ranks = [f"{trade_}, dg AS (SELECT src, count(*) AS k FROM tr GROUP BY 1), nn AS (SELECT count(*) AS n FROM nd), pr0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS r FROM nd, nn)"]
     for i in range(ROUNDS):
         ranks.append(f"pr{i + 1} AS MATERIALIZED (SELECT nd.node, 0.85 * (coalesce((SELECT sum(p.r / dg.k) FROM tr JOIN pr{i} p ON p.node = tr.src JOIN dg ON dg.src = tr.src WHERE tr.dst = nd.node), 0) + (SELECT coalesce(sum(r), 0) FROM pr{i} WHERE node NOT IN (SELECT src FROM tr)) / nn.n) + 0.15 / nn.n AS r FROM nd, nn)")
+    flinks = f"""{fedges}, fl AS (SELECT src, dst FROM fe UNION SELECT a.file_id, b.file_id FROM man b JOIN man a ON a.file_id = CASE WHEN b.file_id % 32 = 7 THEN b.file_id // 2 WHEN b.file_id % 64 = 13 THEN b.file_id // 4 END),
+        flin AS (SELECT dst AS node, count(*) AS in_degree FROM fl GROUP BY 1), flout AS (SELECT src AS node, count(*) AS out_degree FROM fl GROUP BY 1),
+        fh AS (SELECT node, in_degree, coalesce(out_degree, 0) AS out_degree FROM flin LEFT JOIN flout USING (node))"""
     first = lambda n: f"SELECT doc_id, sha256(array_to_string(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31))[:{n}], ' ')) AS sentence_sha FROM documents WHERE text IS NOT NULL"
     o = {
         "repo_url_parts": r"SELECT DISTINCT repo, CASE WHEN len(p) >= 3 THEN p[2] END AS owner, CASE WHEN len(p) >= 3 THEN p[3] END AS name FROM (SELECT repo, string_split(regexp_replace(regexp_replace(regexp_replace(trim(repo_url), '/+$', ''), '\.git$', ''), '^https?://', ''), '/') AS p FROM repos)",
@@ -287,6 +308,8 @@ def oracle_sql() -> dict[str, str]:
         "transitive_impact": f"WITH RECURSIVE {fedges}, r AS (SELECT dst AS node, src AS u FROM fe UNION SELECT r.node, fe.src FROM r JOIN fe ON fe.dst = r.u) SELECT node, count(*) AS impacted FROM r GROUP BY 1",
         "sampled_subset": f"WITH {fedges}, {counts} SELECT node, in_degree, coalesce(n_symbols, 0) AS n_symbols FROM (SELECT d.node, d.in_degree, fc.n_symbols, len(string_split(m.path, '/')) - 1 AS depth FROM deg d JOIN man m ON m.file_id = d.node LEFT JOIN fc ON fc.file_id = d.node) ORDER BY in_degree DESC, coalesce(n_symbols, 0) DESC, depth, node LIMIT 300",
         "graph_summary": f"WITH RECURSIVE {reach} SELECT (SELECT count(*) FROM nd) AS n_nodes, (SELECT count(*) FROM tr) AS n_edges, (SELECT count(DISTINCT src) FROM reach WHERE src = dst) AS n_circular",
+        "file_hubs": f"WITH {flinks} SELECT * FROM fh ORDER BY in_degree DESC, node LIMIT 15",
+        "file_change_impact": f"WITH {flinks}, h AS (SELECT * FROM fh ORDER BY in_degree DESC, node LIMIT 8), l AS (SELECT h.node, in_degree, list(src ORDER BY src) AS l FROM h JOIN fl ON dst = h.node GROUP BY 1, 2) SELECT node, in_degree, array_to_string(l[:7], ',') AS dependents, greatest(len(l) - 7, 0) AS more FROM l",
         "function_scores": f"WITH {frows} SELECT file_id, function, complexity FROM fr",
         "file_complexity": f"WITH {fcomp} SELECT * FROM cx",
         "risk_levels": f"WITH {scored_} SELECT file_id, risk_level, n_reasons FROM sc",

@@ -88,3 +88,63 @@ def test_empty_graph(spark):
     n, e = make(spark, [], [])
     assert G.degrees(n, e).count() == G.components(n, e).count() == G.levels(n, e).count() == G.transitive_impact(e).count() == 0
     assert G.pagerank(n, e).count() == 0 and n.select(F.count("*")).first()[0] == 0
+
+
+def file_graph(n):
+    arcs = {(i, i // k) for i in range(n) for k in (2, 3)} | {(i // 2, i) for i in range(n) if i % 32 == 7} | {(i // 4, i) for i in range(n) if i % 64 == 13 and i % 32 != 7}
+    return {(a, b) for a, b in arcs if a != b}
+
+
+def test_file_graph(spark, tmp_path):
+    from sediment import queries as Q
+
+    n = 600
+    files = spark.createDataFrame([(i, "r", f"src/f{i}.py", 10, None) for i in range(n)], "file_id bigint, repo string, path string, size_bytes bigint, sha string")
+    files.write.parquet(f"{tmp_path}/files.parquet")
+    q, d = Q.queries(), str(tmp_path)
+    arcs = file_graph(n)
+    assert {tuple(r) for r in Q.file_links(spark, d).collect()} == arcs
+    out = {}
+    for a, b in arcs:
+        out.setdefault(a, set()).add(b)
+    reach = {}
+    for i in range(n):
+        seen, todo = set(), [i]
+        while todo:
+            for x in out.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        reach[i] = seen
+    component = {i: min([i, *[j for j in reach[i] if i in reach[j]]]) for i in range(n)}
+    assert {r["node"]: r["component"] for r in q["file_components"](spark, d).collect()} == component
+    circular = {i for i in range(n) if i in reach[i]}
+    assert circular and {r["node"] for r in q["file_circular_nodes"](spark, d).collect()} == circular
+    brute = set()
+    for i in circular:
+        todo = [[i]]
+        while todo:
+            path = todo.pop()
+            for x in out[path[-1]]:
+                if x == i:
+                    brute.add(",".join(map(str, path)))
+                elif x > i and x not in path and component[x] == component[i]:
+                    todo.append([*path, x])
+    assert {r["nodes"] for r in q["file_cycles"](spark, d).collect()} == brute
+    rank = dict.fromkeys(range(n), 1 / n)
+    for _ in range(Q.ROUNDS):
+        new = dict.fromkeys(range(n), 0.15 / n + 0.85 * sum(rank[i] for i in range(n) if i not in out) / n)
+        for a, b in arcs:
+            new[b] += 0.85 * rank[a] / len(out[a])
+        rank = new
+    got = {r["node"]: r["pagerank"] for r in q["file_pagerank_rounds"](spark, d).collect()}
+    assert len(got) == n and all(abs(got[i] - rank[i]) < 2e-6 for i in range(n))
+    settled = {r["node"]: r["pagerank"] for r in q["file_pagerank"](spark, d).collect()}
+    assert len(settled) == n and all(abs(settled[i] - rank[i]) < 1e-3 for i in range(n))
+    into = {i: sorted(a for a, b in arcs if b == i) for i in range(n)}
+    top = sorted(range(n), key=lambda i: (-len(into[i]), i))[:15]
+    assert [r["node"] for r in q["file_hubs"](spark, d).collect()] == top
+    assert {(r["node"], r["dependents"], r["more"]) for r in q["file_change_impact"](spark, d).collect()} == {(i, ",".join(map(str, into[i][:7])), max(len(into[i]) - 7, 0)) for i in top[:8]}
+    assert q["file_graph_summary"](spark, d).first().asDict() == {"n_nodes": n, "n_edges": len(arcs), "n_circular": len(circular)}
+    style = {r["node"]: r["color"] for r in q["file_node_style"](spark, d).collect()}
+    assert {i for i, c in style.items() if c == "red"} == circular
