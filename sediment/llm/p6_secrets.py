@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left as bisect
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -33,7 +34,8 @@ ISSUERS = re.compile(
     r"(?<![\w-])(?:A(?:KIA|SIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{40,}|glpat-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{20,}|xox[abps]-\d{8,}-[\w-]{16,}|xapp-\d-[\w-]{20,}|tok-[0-9a-f]{8}\.[A-Za-z0-9]{24,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{34}|SG\.[\w-]{16,}\.[\w-]{32,}|AIza[\w-]{35}|ya29\.[\w-]{40,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![\w-])"
 )
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
-_JOINED = re.compile(rf"[A-Za-z]{{0,2}}{_LITERAL}(?:\s*[+.,]?\s*(?:\\\n\s*)?{_LITERAL})+")
+#: What may stand between the parts of a joined literal.
+_SEAM = re.compile(r"\s*+[+.,]?\s*+(?:\\\n\s*+)?+")
 _PART = re.compile(_LITERAL)
 _NAMES = r"pass(?:word|wd|phrase|wort)?|pwd|secret|api[_-]?key|(?:access|auth|private|signing|encryption|hmac|master|session|cookie|client|service|account|storage|license|shared|secret)[_-]?key|key|token|credentials?"
 _ASSIGN = re.compile(rf"(?<![\w$])(?P<name>[A-Za-z_$][\w$.-]*)[\"'`]?\]?\s*(?::\s*(?:&\s*)?(?:'static\s+)?[A-Za-z_][\w<>\[\], ]*?\s*)?(?:=>|:=|[:=])\s*(?P<open>[A-Za-z]{{0,2}}(?=[\"'`]))?(?P<value>{_LITERAL}|[^\s\"'`,;#]\S*)")
@@ -43,7 +45,9 @@ _PUBLIC = re.compile(r"public|(?:^|_)(?:name|field|header|prefix|id|path|file|ur
 _IN_COMMENT = re.compile(r"(?:^|[^\w:])(?:#|//|/\*|\*|--)\s?.*?\b(?:password|passwd|pwd|passphrase|secret|token|key|credentials?)\b[^\"'\n:=]{0,40}[:=]\s*(?P<value>[^\s\"'`,;]{8,})", re.I)
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s/:@\"'`<>]*):(?P<value>[^\s/@\"'`]+)@[\w\[]")
 _BASIC = re.compile(r"\bbasic\s+(?P<value>[A-Za-z0-9+/_-]{8,}={0,2})(?![\w+/=])", re.I)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[A-Za-z0-9+/=\s,:]|\\[nr]|[\"'`]\s*(?:\+|\\\n|,)?\s*[\"'`]|[*#/]{1,2}\s|Proc-Type|DEK-Info)*)")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:[A-Za-z0-9+/=\s,:]++|\\[nr]|[\"'`]\s*(?:\+|\\\n|,)?\s*[\"'`]|[*#/]{1,2}\s|Proc-Type|DEK-Info)*+)")
+#: How values of issuers begin.
+_HEAD = re.compile(r"A(?:KIA|SIA)|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|xox[abps]-|xapp-|tok-|npm_|hf_|SG\.|AIza|ya29\.|eyJ")
 #: Placeholders and references.
 _PLACEHOLDER = re.compile(
     r"^(?:x+|\*+|\.+|-+|_+|0+|(?:123)+\d*|abc\w{0,6}|change[_-]?(?:me|it)\W*|changeme\w*|example\w*|placeholder\w*|replace[_-]?(?:me|this)\w*|your[_-].*|my[_-]?(?:password|secret|key|token)|dummy\w*|sample\w*|test(?:ing|123)?|todo|tbd|none|null|nil|undefined|true|false|redacted|removed|hidden|secret|password|passwd|token|insert.*|fill.*|enter.*|default|foo\w*|bar|baz|n/?a|empty)$"
@@ -117,21 +121,52 @@ def basic(value: str) -> bool:
     return bool(colon and password and text.isprintable()) and not _PLACEHOLDER.search(password)
 
 
-def _candidates(text: str, start: int, end: int, config: bool) -> Iterator[tuple[int, int, str, str]]:
+class Joined:
+    """Literals joined from parts, of one text; a line inside such a literal continues the parts that are known, so long lists are read once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.parts, self.stop = text, [], -1
+
+    def line(self, start: int, end: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """Parts (begin and end of each with quotes) and the number of the first, of the literals that begin on a line."""
+        at = start
+        while at < end and (p := _PART.search(self.text, at, end)):
+            i = bisect(self.parts, (p.start(), 0)) if p.start() < self.stop else len(self.parts)
+            if i == len(self.parts) or self.parts[i] != p.span():
+                self.parts, i = [p.span()], 0
+                while m := _PART.match(self.text, _SEAM.match(self.text, self.parts[-1][1]).end()):
+                    self.parts.append(m.span())
+                self.stop = self.parts[-1][1]
+            if len(self.parts) - i > 1:
+                yield self.parts, i
+                at = self.stop
+            else:
+                at = p.start() + 1
+
+    def value(self, parts: list[tuple[int, int]], i: int) -> str:
+        return "".join([self.text[a + 1 : b - 1] for a, b in parts[i:]])
+
+    def issuer(self, parts: list[tuple[int, int]], i: int) -> str | None:
+        """The value, if an issuer gives such."""
+        head = ""
+        for a, b in parts[i:]:
+            head += self.text[a + 1 : b - 1][:16]
+            if len(head) >= 11:
+                break
+        return value if _HEAD.match(head) and ISSUERS.fullmatch(value := self.value(parts, i)) else None
+
+
+def _candidates(text: str, start: int, end: int, config: bool, chains: Joined) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, kind and value of what stands on a line; a literal joined from parts may end on a later one."""
     line = text[start:end]
     for m in ISSUERS.finditer(line):
         yield start + m.start(), start + m.end(), "issuer", m[0]
     joined = {}
     if any(q in line for q in "\"'`"):
-        for m in _JOINED.finditer(text, start, min(len(text), end + 400)):
-            if m.start() >= end:
-                break
-            parts = [(p.start() + 1, p.end() - 1) for p in _PART.finditer(text, m.start(), m.end())]
-            value = "".join(text[a:b] for a, b in parts)
-            joined[parts[0][0] - 1] = (m.end(), value)
-            if ISSUERS.fullmatch(value):
-                yield parts[0][0], parts[-1][1], "issuer", value
+        for parts, i in chains.line(start, end):
+            joined[parts[i][0]] = (parts, i)
+            if value := chains.issuer(parts, i):
+                yield parts[i][0] + 1, parts[-1][1] - 1, "issuer", value
     for m in _URL.finditer(line):
         v = m["value"]
         if not _PLACEHOLDER.search(v) and not re.fullmatch(r"[A-Z_]+|\d{1,5}", v) and "{" not in v:
@@ -139,9 +174,10 @@ def _candidates(text: str, start: int, end: int, config: bool) -> Iterator[tuple
     for m in _BASIC.finditer(line):
         if basic(m["value"]):
             yield start + m.start("value"), start + m.end("value"), "basic", m["value"]
-    for m in _PEM.finditer(text, start, min(len(text), start + 20_000)):
-        if m.start() >= end:
-            break
+    for begin in re.finditer("-----BEGIN ", line):
+        m = _PEM.match(text, start + begin.start())
+        if not m:
+            continue
         body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m["body"])
         if len(body) >= 40:
             yield m.start(), m.end(), "private_key", m[0]
@@ -153,7 +189,7 @@ def _candidates(text: str, start: int, end: int, config: bool) -> Iterator[tuple
         if raw[0] in "\"'`":
             a, b, value = at + 1, start + m.end("value") - 1, raw[1:-1]
             if at in joined:
-                b, value = joined[at][0] - 1, joined[at][1]
+                b, value = joined[at][0][-1][1] - 1, chains.value(*joined[at])
         else:
             if not config or _REFERENCE.match(raw) and not re.search(r"\d", raw):
                 continue
@@ -168,7 +204,8 @@ def _candidates(text: str, start: int, end: int, config: bool) -> Iterator[tuple
 
 def find(text: str, config: bool = False) -> list[tuple[int, int, str]]:
     """Places of credentials: start, end, kind; without overlaps, in order.  config: values need no quotes."""
-    found = sorted({(a, b, kind) for s, e in candidate_lines(text) for a, b, kind, _ in _candidates(text, s, e, config)}, key=lambda x: (x[0], -x[1]))
+    chains = Joined(text)
+    found = sorted({(a, b, kind) for s, e in candidate_lines(text) for a, b, kind, _ in _candidates(text, s, e, config, chains)}, key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for f in found:
         if not out or f[0] >= out[-1][1]:
