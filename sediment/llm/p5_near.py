@@ -5,8 +5,9 @@ segments, and a fingerprint is embedded as its bit count in each: the Manhattan
 of the size of the fingerprints' symmetric difference, which a Jaccard coefficient of t bounds by (1-t)/(1+t) of the sum
 of the sizes.
 
-The range join works on a grid.  A fingerprint of n bits lies in the cells of its n - ceil(t n) + 1 least common bits; two
-fingerprints within the bound share at least one cell, whatever the order of commonness is, as long as it is one order.
+Candidates come from a prefix filter, an equi-join that replaces a grid over the embedding and its range join: a fingerprint
+of n bits is filed under its n - ceil(t n) + 1 least common bits ("cells"), and two fingerprints within the bound share at
+least one of them, whatever the order of commonness is, as long as it is one order.  The embedding only prunes afterwards.
 The order comes from bit counts of all fingerprints in ORDER_SLOTS slots (a table of fixed size, which is all that is
 broadcast).  Pairs of one cell are held against the range of the total bit count and the Manhattan bound, and what is left
 is verified exactly on the sets themselves.
