@@ -13,8 +13,8 @@ broadcast).  Pairs of one cell are held against the range of the total bit count
 is verified exactly on the sets themselves.
 
 Fingerprints that are equal form one class, and the join sees classes only.  ``found`` expands classes to pairs of chunks;
-a class of more than EXPAND copies is not expanded: its members are paired with its representative, other classes' links
-name the representative, and ``classes`` has every member.
+only exact copies are abbreviated: of more than EXPAND chunks of one class with equal text behind the first line the one with
+the least number stands for them in pairs with others, they are paired with it, and ``classes`` has every member.
 
 Defined results: null chunk_no or content is no chunk; a chunk with fewer than three tokens has no fingerprint and no
 pair; repeated rows count once; an empty table gives none.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENTS = 32
@@ -117,7 +117,7 @@ def order_of(rows: DataFrame) -> np.ndarray:
 
 
 def embedded(rows: DataFrame, threshold: float, order: np.ndarray) -> DataFrame:
-    """chunk_no, class key, bits, embedding and cells of each chunk with a fingerprint."""
+    """chunk_no, class key, bits, embedding, cells and text key of each chunk with a fingerprint."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +126,22 @@ def embedded(rows: DataFrame, threshold: float, order: np.ndarray) -> DataFrame:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
                 nos = b.column("chunk_no").to_pylist()
-                bits, sizes = sh.fingerprints(b.column("content").to_pylist())
+                texts = b.column("content").to_pylist()
+                bits, sizes = sh.fingerprints(texts)
                 rank = common[_slot(bits)] if len(bits) else np.empty(0, np.int64)
                 out, at = [], 0
-                for no, n in zip(nos, sizes.tolist()):
+                for no, n, text in zip(nos, sizes.tolist(), texts):
                     if n:
                         own = bits[at : at + n]
                         cells = n - math.ceil(threshold * n - 1e-9) + 1
                         pick = np.lexsort((own, rank[at : at + n]))[:cells]
-                        out.append((no, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, embed(own), own[pick].astype(np.int64)))
+                        out.append((no, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, embed(own), own[pick].astype(np.int64), hashlib.blake2b(text.partition("\n")[2].encode("utf-8", "surrogatepass"), digest_size=16).digest()))
                     at += n
                 if out:
-                    no, key, n, v, cells = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["chunk_no", "class_key", "n_bits", "embedding", "cells"])
+                    no, key, n, v, cells, same = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(same, pa.binary())], names=["chunk_no", "class_key", "n_bits", "embedding", "cells", "text_key"])
 
-    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, n_bits int, embedding binary, cells array<bigint>")
+    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, n_bits int, embedding binary, cells array<bigint>, text_key binary")
 
 
 def _near_embeddings(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -192,26 +193,33 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Links between representatives (a, b, similarity) and members (chunk_no, class_id, copies) of all classes."""
+def _linked(chunks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives, and members of classes with their text keys."""
     rows = function_chunks(chunks)
     points = embedded(rows, threshold, order_of(rows))
     links = class_links(rows, points, threshold)
     sizes = points.select("class_key", "chunk_no").groupBy("class_key").agg(F.min("chunk_no").alias("class_id"), F.count_distinct("chunk_no").alias("copies"))
-    members = points.select("class_key", "chunk_no").distinct().join(sizes, "class_key").select("chunk_no", "class_id", "copies")
-    return links, members
+    return links, points.select("class_key", "text_key", "chunk_no").distinct().join(sizes, "class_key").drop("class_key")
+
+
+def near_duplicates(chunks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives (a, b, similarity) and members (chunk_no, class_id, copies) of all classes."""
+    links, members = _linked(chunks, threshold)
+    return links, members.select("chunk_no", "class_id", "copies").distinct()
 
 
 def found(chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
     """chunk_no_a < chunk_no_b of similar chunks: links of classes expanded by their members, and pairs of copies."""
-    links, members = near_duplicates(chunks, threshold)
-    # what stands for a class in links: all its members if it is small, else its representative
-    shown = members.where((F.col("copies") <= EXPAND) | (F.col("chunk_no") == F.col("class_id")))
+    links, members = _linked(chunks, threshold)
+    # what stands for a class in links: all its members, but of many exact copies one
+    alike = Window.partitionBy("class_id", "text_key")
+    members = members.withColumn("n_alike", F.when(F.col("copies") > EXPAND, F.count("*").over(alike)).otherwise(0)).withColumn("first_alike", F.when(F.col("copies") > EXPAND, F.min("chunk_no").over(alike)))
+    shown = members.where((F.col("n_alike") <= EXPAND) | (F.col("chunk_no") == F.col("first_alike")))
     many = shown.where("copies > 1").groupBy("class_id").agg(F.collect_list("chunk_no").alias("nos"))
     side = lambda name: many.select(F.col("class_id").alias(name), F.col("nos").alias(f"{name}_nos"))
     wide = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
     wide = wide.select(F.explode(F.coalesce("a_nos", F.array("a"))).alias("x"), F.coalesce("b_nos", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))
     copies = many.select(F.explode("nos").alias("x"), F.col("nos").alias("ys")).select("x", F.explode("ys").alias("y")).where("x < y")
-    star = members.where((F.col("copies") > EXPAND) & (F.col("chunk_no") != F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("chunk_no").alias("y"))
+    star = members.where((F.col("n_alike") > EXPAND) & (F.col("chunk_no") != F.col("first_alike"))).select(F.col("first_alike").alias("x"), F.col("chunk_no").alias("y"))
     every = wide.unionByName(copies).unionByName(star).where("x <> y")
     return every.select(F.least("x", "y").alias("chunk_no_a"), F.greatest("x", "y").alias("chunk_no_b")).distinct()
