@@ -1,7 +1,8 @@
 """Problem 3: generated, minified, vendored and data files among the source files.
 
-Layout statistics of the whole file are held against thresholds, tuned per language: maximum and mean line length, the
-share of the text that stands in long lines, white space, letters and digits, numeric literals and long encoded runs.
+Layout statistics of the whole file are held against thresholds: maximum and mean line length (lower for JavaScript and
+TypeScript), the share of the text that stands in long lines and the white space in those, long encoded runs, and what is
+left of a file of any size from MIN_DATA_CHARS on without its literals and brackets.
 Statements of origin in the head comment and directories of third-party code are evidence beside them, because a copied or
 generated file can look like any other.
 
@@ -35,7 +36,7 @@ _THIRD = re.compile(
 LONG_LINE = {"JavaScript": 240, "TypeScript": 240, "Java": 400, "Python": 400}
 MEAN_LINE = {"JavaScript": 140, "TypeScript": 140}
 MAX_SPACE = 0.14
-MIN_DATA_CHARS = 900
+MIN_DATA_CHARS = 200
 MAX_REST = 0.12
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{80,}|(?:\\x[0-9a-fA-F]{2}){20,}")
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
@@ -60,18 +61,12 @@ def bare(language: str, text: str) -> str:
 
 
 def layout(text: str) -> dict[str, float]:
-    """Line lengths and shares of the characters of a whole text."""
+    """The longest line and the share of long encoded runs of a whole text."""
     lines = text.split("\n")
     n = max(1, len(text))
-    raw = text.encode("utf-8", "replace")
-    without = lambda chars: (len(raw) - len(raw.translate(None, chars))) / max(1, len(raw))
     full = [len(line) for line in lines if line.strip()]
     return {
         "max_line": max(full, default=0),
-        "mean_line": sum(full) / max(1, len(full)),
-        "space_share": without(b" \t\r\n"),
-        "alnum_share": without(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "digit_share": without(b"0123456789"),
         "encoded_share": sum(len(m[0]) for m in _ENCODED.finditer(text)) / n,
     }
 
@@ -118,9 +113,8 @@ def origin(language: str, path: str, text: str) -> str | None:
         return "minified"
     if stats["encoded_share"] and stats["max_line"] >= 400 and _COMPILED.search(said):
         return "generated"
-    if stats["digit_share"] >= 0.08 or stats["encoded_share"] >= 0.3:
-        if data_literal(language, text):
-            return "data"
+    if data_literal(language, text):
+        return "data"
     return None
 
 

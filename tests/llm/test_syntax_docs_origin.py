@@ -123,3 +123,12 @@ def test_p3(spark):
     files = spark.createDataFrame([(i, "JavaScript" if p.endswith("js") else "Python", 0) for i, (p, _, _) in enumerate(cases)], FILES)
     got = {r["file_id"]: r["origin"] for r in p3_origin.not_hand_written(contents, files).collect()}
     assert [got.get(i) for i in range(len(cases))] == [k for *_, k in cases]
+
+
+def test_p3_literals_without_digits():
+    words = "WORDS = [\n" + "".join(f'    "{a}{b}land",\n' for a in ("north", "south", "upper") for b in "abcdefgh") + "]\n"
+    short = "COUNTRIES = [\n" + "".join(f'    "{c}",\n' for c in ("Austria", "Belgium", "Croatia", "Denmark", "Estonia", "Finland", "Greece", "Hungary", "Iceland", "Ireland", "Italy", "Latvia", "Malta", "Norway", "Poland")) + "]\n"
+    long = words.replace("]\n", "") + "".join(f'    "{a}{b}{c}",\n' for a in "qwerty" for b in ("stone", "field") for c in ("wood", "dale", "ford")) + "]\n"
+    assert len(short) < 900 < len(long)
+    assert [p3_origin.origin("Python", "a.py", x) for x in (words, short, long)] == ["data"] * 3
+    assert p3_origin.origin("Python", "a.py", 'NAME = "x"\n') is None and p3_origin.origin("Python", "a.py", 'def f(a):\n    return g(a, "some text", "more text")\n' * 20) is None
