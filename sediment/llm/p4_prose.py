@@ -93,7 +93,7 @@ def passages(language: str, text: str) -> Iterator[tuple[int, int, str]]:
 
 def trigram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram that ends at each character of all texts, and the texts' lengths."""
-    low = [t.lower() for t in texts]
+    low = [x if len(x := t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
     c = np.frombuffer(" \0".join(["", *low]).encode("utf-32-le", "surrogatepass"), np.uint32)[2:] if low else np.empty(0, np.uint32)
     c = np.where((c >= 48) & (c <= 57), 48, c).astype(np.uint64)

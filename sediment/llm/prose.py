@@ -13,7 +13,9 @@ _SECTION = re.compile(r"\s*(?:#+\s*)?(?:Args|Arguments|Parameters|Params|Returns
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*[}\])]|[!=]==?[^=]|:=|=>|->|&&|\|\||\+=|::|^\s*(?:if|for|while|switch|match|elif)\b.*[({:]\s*$|^\s*(?:else|try|finally)\s*[:{]|^\s*(?:import|from|package|use|const|let|var|return|def|class|func|fn|function|raise|throw|pub|static|public|private|#include|#define)\s+[\w.{*(\"'\[]+.*(?:[;({:=]|import\b)|^\s*[\w.\[\]]+\s*=\s*\S|^\s*[\w.]+\([^)]*\)\s*$|^\s*@\w+\s*$|^\s*return\s+\w+\s*$|^\s*with\s+.*\bas\b.*:\s*$|^\s*except\b.*:\s*$"
 )
-_SQL = re.compile(r"\b(?:SELECT\b.+\bFROM|INSERT\s+INTO|UPDATE\s+\S+\s+SET|DELETE\s+FROM|CREATE\s+(?:TABLE|INDEX|VIEW)|ALTER\s+TABLE|DROP\s+TABLE|WITH\s+\w+\s+AS\s*\()", re.S)
+#: Where a statement ends inside a passage: at its sign, a quote of code, an empty line or the end of a sentence.
+_END = r";|`|\n[ \t]*(?:\n|\Z)|[.!?](?=\s+[^\W\da-z_]|\s*\Z)|[。！？]"
+_SQL = re.compile(rf"\b(?:SELECT\b(?:(?!{_END}).)+?\bFROM|INSERT\s+INTO|UPDATE\s+\S+\s+SET|DELETE\s+FROM|CREATE\s+(?:TABLE|INDEX|VIEW)|ALTER\s+TABLE|DROP\s+TABLE|WITH\s+\w+\s+AS\s*\()(?:(?!{_END}).)*", re.S)
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|\bdata:\S+|\S{60,}")
 _ESCAPE = re.compile(r"\\(?:[nrt0abfv'\"\\]|x[\da-fA-F]{2}|u\{?[\da-fA-F]{4,6}\}?)|%[-+0 #]*\d*(?:\.\d+)?[a-zA-Z]|\$?\{[^{}]*\}")
 
@@ -42,10 +44,8 @@ def prose_lines(text: str) -> list[str]:
 
 
 def strip_noise(text: str) -> str:
-    """Without URLs, encoded runs, escapes and format fields; SQL is nothing."""
-    if _SQL.search(text):
-        return ""
-    return _ESCAPE.sub(" ", _URL.sub(" ", text))
+    """Without SQL statements, URLs, encoded runs, escapes and format fields."""
+    return _ESCAPE.sub(" ", _URL.sub(" ", _SQL.sub(" ", text)))
 
 
 def words(text: str) -> list[str]:

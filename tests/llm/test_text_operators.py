@@ -22,6 +22,23 @@ def test_p4(spark):
     assert 0 < got[1, "de"]["share"] < 1 and got[1, "de"]["n_passages"] == 1
 
 
+def test_prose_around_sql_and_capitals():
+    import numpy as np
+
+    from sediment.llm import prose
+
+    sql = "SELECT a, b FROM c WHERE d > 1 ORDER BY e"
+    assert not prose.words(prose.strip_noise(sql)) and not prose.words(prose.strip_noise("INSERT INTO t (a)\nVALUES (?)"))
+    for text in (f"{EN} It runs DROP TABLE jobs; {EN}", f"{EN}\n\n{sql}\n\n{EN}", f"{EN} Calls `{sql}` first. {EN}"):
+        left = prose.strip_noise(text)
+        assert left.count("lease of the queue") == 2 and "TABLE" not in left and "SELECT" not in left
+    texts = ["İstanbul and the lease of the queue", "ABC"]
+    ids, sizes = p4_prose.trigram_ids(texts)
+    assert list(sizes) == [len(t) for t in texts]
+    table = np.log(np.random.default_rng(1).dirichlet(np.ones(p4_prose.BUCKETS), 9)).astype(np.float32)
+    assert [len(x) for x in p4_prose.decode(table, texts)] == [len(t) for t in texts]
+
+
 def test_viterbi_is_optimal():
     import numpy as np
 
