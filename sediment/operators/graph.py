@@ -181,17 +181,19 @@ def elementary(arcs: list[tuple], max_cycles: int) -> Iterator[list]:
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, max_cycles: int = 10_000) -> DataFrame:
-    """component, nodes, length: elementary cycles of each component, at most ``max_cycles`` of one (their number can be exponential; circular_nodes needs none)."""
+    """component, nodes, length, complete: elementary cycles of each component, at most ``max_cycles`` of one (their number can be exponential; circular_nodes needs none); complete says whether these are all of the component."""
     c = cut(components(nodes, edges))
     e = simple(edges)
     inner = e.join(c.select(F.col("node").alias("src"), "component"), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("component", "src", "dst")
     kind = dict(e.dtypes)["src"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(elementary(list(zip(pdf["src"], pdf["dst"])), max_cycles))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "nodes": found, "length": [len(x) for x in found]})
+        found = list(elementary(list(zip(pdf["src"], pdf["dst"])), max_cycles + 1))
+        complete = len(found) <= max_cycles
+        found = found[:max_cycles]
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(found), "nodes": found, "length": [len(x) for x in found], "complete": [complete] * len(found)})
 
-    return inner.groupBy("component").applyInPandas(run, f"component {kind}, nodes array<{kind}>, length int")
+    return inner.groupBy("component").applyInPandas(run, f"component {kind}, nodes array<{kind}>, length int, complete boolean")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def queries() -> dict[str, Query]:
         "file_node_style": lambda s, d: G.node_style(G.degrees(file_nodes(s, d), file_links(s, d)), G.circular_nodes(file_nodes(s, d), file_links(s, d))),
         "file_circular_nodes": lambda s, d: G.circular_nodes(file_nodes(s, d), file_links(s, d)),
         "file_components": lambda s, d: G.components(file_nodes(s, d), file_links(s, d)),
-        "file_cycles": lambda s, d: G.cycles(file_nodes(s, d), file_links(s, d)).select(F.array_join("nodes", ",").alias("nodes"), "length"),
+        "file_cycles": lambda s, d: G.cycles(file_nodes(s, d), file_links(s, d)).select(F.array_join("nodes", ",").alias("nodes"), "length", "complete"),
         "file_pagerank": lambda s, d: G.pagerank(file_nodes(s, d), file_links(s, d)),
         "file_pagerank_rounds": lambda s, d: G.pagerank_rounds(file_nodes(s, d), file_links(s, d), ROUNDS),
         "file_graph_summary": lambda s, d: sinks.graph_json(file_nodes(s, d), file_links(s, d)).select("n_nodes", "n_edges", "n_circular"),

@@ -90,6 +90,13 @@ def test_empty_graph(spark):
     assert G.pagerank(n, e).count() == 0 and n.select(F.count("*")).first()[0] == 0
 
 
+def test_cycles_say_whether_they_are_all(spark):
+    n, e = make(spark, "abcde", [(a, b) for a in "abc" for b in "abc" if a != b] + [("d", "e"), ("e", "d")])
+    for bound, whole in ((5, {"a": 5, "d": 1}), (4, {"d": 1})):
+        got = G.cycles(n, e, bound).collect()
+        assert len(got) == bound + 1 and {c: sum(r["component"] == c for r in got) for c in {r["component"] for r in got if r["complete"]}} == whole
+
+
 def file_graph(n):
     arcs = {(i, i // k) for i in range(n) for k in (2, 3)} | {(i // 2, i) for i in range(n) if i % 32 == 7} | {(i // 4, i) for i in range(n) if i % 64 == 13 and i % 32 != 7}
     return {(a, b) for a, b in arcs if a != b}
