@@ -59,9 +59,19 @@ def over(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterable[tuple]], schema
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the session names for checkpoints; a local one only where none is named, as in tests."""
+    """A new place in the folder that the session names for checkpoints; a local one only in local mode, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/sediment-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a table in the scratch folder: computed once, and again only if that folder is lost."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,20 +1,28 @@
 """Problem 5: near-duplicate function chunks.
 
-A chunk's fingerprint is the set of 64-bit names of its runs of three tokens.  The fingerprint space is cut into SEGMENTS
-segments, and a fingerprint is embedded as its bit count in each: the Manhattan distance of two embeddings is a lower bound
-of the size of the fingerprints' symmetric difference, which a Jaccard coefficient of t bounds by (1-t)/(1+t) of the sum
-of the sizes.
-
-Candidates come from a prefix filter, an equi-join that replaces a grid over the embedding and its range join: a fingerprint
-of n bits is filed under its n - ceil(t n) + 1 least common bits ("cells"), and two fingerprints within the bound share at
-least one of them, whatever the order of commonness is, as long as it is one order.  The embedding only prunes afterwards.
-The order comes from bit counts of all fingerprints in ORDER_SLOTS slots (a table of fixed size, which is all that is
-broadcast).  Pairs of one cell are held against the range of the total bit count and the Manhattan bound, and what is left
-is verified exactly on the sets themselves.
-
-Fingerprints that are equal form one class, and the join sees classes only.  ``found`` expands classes to pairs of chunks;
-only exact copies are abbreviated: of more than EXPAND chunks of one class with equal text behind the first line the one with
-the least number stands for them in pairs with others, they are paired with it, and ``classes`` has every member.
+A chunk's fingerprint is the set of 64-bit names of its runs of three tokens.  The space of names is cut into segments, and
+a fingerprint is embedded as its bit count in each: the Manhattan distance of two embeddings is a lower bound of the size d
+of the fingerprints' symmetric difference.  A Jaccard coefficient of t or more means d <= c (a + b), where a and b are the
+numbers of bits and c = (1 - t) / (1 + t).
+
+Candidates come from a range join on a grid over the embedding.  The space of names is halved again and again.  Since both
+sides of d <= c (a + b) are sums over the halves, a pair that satisfies it satisfies it in one half that is not empty, and so
+on down: there is a path of regions in which the pair is within the bound.  K is the largest count at which the bound allows
+a distance of less than 2 (5 bits at 0.7).  In the first region of the path where neither has more than K bits, the pair's
+bit counts of the region's 2**FINE segments are equal or, if the counts are large enough for that, differ by one bit.  So a
+fingerprint is filed, in every region that can be such a first one, under the cell of its segment counts there and under the
+cells at Manhattan distance 1 below it; of two that meet one is in its own cell.  (A region can be the first one if it has at
+most K bits and the region around it at least t (K + 1), since within the bound counts differ by the factor t at most.)
+A region with a single bit would make poor cells.  The pair is within the bound in the region around it too, so it shares
+a known number of bits of the other half, hence one of the first few of them: the cell is that of the bit and one of those.
+
+Pairs of one cell are then held against the Manhattan bound on the bit counts of SEGMENTS segments of the whole space, and
+what is left is verified exactly on the sets themselves.  No pair is lost by any of this, at any size.
+
+Fingerprints that are equal form one class, and the join sees classes only: a task files a class once, and what several tasks
+file is made distinct in the exchange.  ``found`` expands classes to pairs of chunks; of more than ``expand`` chunks of one
+class with equal text behind the first line the one with the least number stands for them in pairs with others, they are
+paired with it, and ``classes`` has every member; expand=None gives all pairs.
 
 Defined results: null chunk_no or content is no chunk; a chunk with fewer than three tokens has no fingerprint and no
 pair; repeated rows count once; an empty table gives none.
@@ -33,8 +41,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SEGMENTS = 32
-ORDER_SLOTS = 1 << 16
+FINE = 10
 EXPAND = 256
 _TOKEN = re.compile(r"[a-z0-9_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -91,57 +101,124 @@ def embed(bits: np.ndarray) -> bytes:
     return np.minimum(np.bincount((bits >> np.uint64(64 - 5)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
 
 
-def _slot(bits: np.ndarray) -> np.ndarray:
-    return (bits & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
-
-
 def function_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("symbol_type = 'function' AND chunk_no IS NOT NULL AND content IS NOT NULL").select("chunk_no", "content")
 
 
-def order_of(rows: DataFrame) -> np.ndarray:
-    """How common the bits of each slot are, over all fingerprints."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, total = Shingler(), np.zeros(ORDER_SLOTS, np.int64)
-        for b in it:
-            bits, _ = sh.fingerprints(b.column("content").to_pylist())
-            total += np.bincount(_slot(bits), minlength=ORDER_SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
-
-    counts = rows.select("content").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ORDER_SLOTS, np.int64)
-    out[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return out
-
-
-def embedded(rows: DataFrame, threshold: float, order: np.ndarray) -> DataFrame:
-    """chunk_no, class key, bits, embedding, cells and text key of each chunk with a fingerprint."""
-    shared = rows.sparkSession.sparkContext.broadcast(order)
+class Grid:
+    """Cells of fingerprints for similarity t."""
+
+    def __init__(self, t: float):
+        self.t, self.c = t, (1 - t) / (1 + t)
+        #: most bits of a region, so that the bound allows a distance below 2
+        self.most = max(1, math.ceil(1 / self.c - 1e-9) - 1) if self.c else 64
+        #: least bits of the region around it
+        self.around = math.ceil(t * (self.most + 1) - 1e-9)
+        #: bits from which a fingerprint with one bit less can be within the bound
+        self.one_less = math.ceil((1 / self.c + 1) / 2 - 1e-9) if self.c else 65
+        #: whether the other half always shares bits with a single one's
+        self.refine = t * self.around - 1 > 1e-9
+
+    def cells(self, bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, owner and role (0: own cell, 1: cell below) of fingerprints whose bits are sorted within each."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(bits)
+        around, around_start = np.full(n, 1 << 60), np.zeros(n, np.int64)
+        cell, whose, role = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def add(x: np.ndarray, o: np.ndarray, r: int) -> None:
+            cell.append(x)
+            whose.append(o)
+            role.append(np.full(len(x), r))
+
+        for depth in range(65):
+            region = bits >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
+            new = np.ones(n, bool)
+            new[1:] = (region[1:] != region[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, n))
+            per, start = np.repeat(count, count), np.repeat(first, count)
+            filed = (count <= self.most) & (around[first] >= self.around)
+            salt = np.uint64(0xC2B2AE3D27D4EB4F * (depth + 1) & 0xFFFFFFFFFFFFFFFF)
+            name = lambda i: _mix((bits[i] >> np.uint64(max(0, 64 - depth - FINE))) * _M1 + salt)  # noqa: B023, E731
+            alone = (count == 1) & (depth > 0) & self.refine
+            at = np.flatnonzero(np.repeat(filed & ~alone, count))
+            if len(at):
+                h, k, head = name(at), per[at], start[at] == at
+                total = np.add.reduceat(h, np.flatnonzero(head))
+                add(_mix(total), owner[at[head]], 0)
+                more = k >= self.one_less
+                add(_mix((np.repeat(total, k[head]) - h)[more]), owner[at[more]], 1)
+            one = first[filed & alone]
+            if len(one):
+                a = around[one]
+                need = np.minimum(a - np.ceil(self.t * a - 1 - 1e-9).astype(np.int64), a - 1)
+                i = np.repeat(one, need)
+                k = np.arange(len(i)) - np.repeat(np.cumsum(need) - need, need)
+                other = np.where(around_start[i] == i, i + 1, around_start[i]) + k
+                add(_mix(name(i) + _mix(name(other) + _M3)), owner[i], 0)
+            if not (per >= self.around).any():
+                break
+            around, around_start = per, start
+        return np.concatenate(cell), np.concatenate(whose), np.concatenate(role)
+
+
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _name(key: bytes) -> int:
+    """A class's short name: two classes may share one, which makes no more than candidates."""
+    return int.from_bytes(key[:8], "little", signed=True) & ~1
+
+
+def embedded(rows: DataFrame) -> DataFrame:
+    """chunk_no, class key and short name, text key, bits and embedding of each chunk with a fingerprint."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, common = Shingler(), shared.value
+        sh = Shingler()
         for whole in it:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                nos = b.column("chunk_no").to_pylist()
                 texts = b.column("content").to_pylist()
                 bits, sizes = sh.fingerprints(texts)
-                rank = common[_slot(bits)] if len(bits) else np.empty(0, np.int64)
                 out, at = [], 0
-                for no, n, text in zip(nos, sizes.tolist(), texts):
+                for no, n, text in zip(b.column("chunk_no").to_pylist(), sizes.tolist(), texts):
                     if n:
                         own = bits[at : at + n]
-                        cells = n - math.ceil(threshold * n - 1e-9) + 1
-                        pick = np.lexsort((own, rank[at : at + n]))[:cells]
-                        out.append((no, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, embed(own), own[pick].astype(np.int64), hashlib.blake2b(text.partition("\n")[2].encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+                        key = _digest(own.tobytes())
+                        out.append((no, key, _name(key), _digest(text.partition("\n")[2].encode("utf-8", "surrogatepass")), n, embed(own)))
                     at += n
                 if out:
-                    no, key, n, v, cells, same = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(v, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(same, pa.binary())], names=["chunk_no", "class_key", "n_bits", "embedding", "cells", "text_key"])
+                    cols = zip(zip(*out), [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["chunk_no", "class_key", "name", "text_key", "n_bits", "embedding"])
 
-    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, n_bits int, embedding binary, cells array<bigint>, text_key binary")
+    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, name bigint, text_key binary, n_bits int, embedding binary")
+
+
+def filed(rows: DataFrame, threshold: float) -> DataFrame:
+    """cell, tag (a class's short name, with the role as lowest bit), of every class; once per task."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, grid, done = Shingler(), Grid(threshold), set()
+        for whole in it:
+            for start in range(0, whole.num_rows, 1000):
+                bits, sizes = sh.fingerprints(whole.slice(start, 1000).column("content").to_pylist())
+                if len(done) > Shingler.LIMIT:
+                    done.clear()
+                names, keep, at = [], np.zeros(len(sizes), bool), 0
+                for i, n in enumerate(sizes.tolist()):
+                    key = _digest(bits[at : at + n].tobytes()) if n else b""
+                    if key and key not in done:
+                        done.add(key)
+                        keep[i] = True
+                        names.append(_name(key))
+                    at += n
+                if names:
+                    cell, owner, role = grid.cells(bits[np.repeat(keep, sizes)], sizes[keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.asarray(names, np.int64)[owner] | role)], names=["cell", "tag"])
+
+    return rows.select("content").mapInArrow(run, "cell bigint, tag bigint")
 
 
 def _near_embeddings(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -156,14 +233,17 @@ def _near_embeddings(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator
 
 def class_links(rows: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     """a < b: representatives of classes whose fingerprints are at least that similar, verified on the sets."""
-    reps = points.groupBy("class_key").agg(F.min("chunk_no").alias("rep"), F.first("n_bits").alias("n_bits"), F.first("embedding").alias("embedding"), F.first("cells").alias("cells"))
-    cells = reps.select("rep", "n_bits", "embedding", F.explode("cells").alias("cell"))
-    a = cells.select("cell", F.col("rep").alias("a"), F.col("n_bits").alias("na"), F.col("embedding").alias("va"))
-    b = cells.select("cell", F.col("rep").alias("b"), F.col("n_bits").alias("nb"), F.col("embedding").alias("vb"))
+    # both sides take one exchange, so that it is made once and reused; the condition on roles names both for that reason
+    cells = filed(rows, threshold).where("cell IS NOT NULL").repartition("cell").distinct()
+    side = lambda s: cells.select("cell", F.col("tag").alias(s))
+    name = lambda s: F.col(s).bitwiseAND(F.lit(-2))
+    met = side("x").join(side("y"), "cell").where((name("x") < name("y")) & (F.col("x").bitwiseAND(F.col("y")).bitwiseAND(F.lit(1)) == 0))
+    met = met.select(name("x").alias("x"), name("y").alias("y")).repartition("x").distinct()
+    reps = points.groupBy("class_key").agg(F.min("chunk_no").alias("rep"), F.first("name").alias("name"), F.first("n_bits").alias("n"), F.first("embedding").alias("v"))
+    end = lambda s, c: reps.select(F.col("name").alias(s), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
     in_range = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    pairs = a.join(b, "cell").where((F.col("a") < F.col("b")) & in_range)
-    pairs = pairs.select("a", "b", "na", "nb", "va", "vb").mapInArrow(lambda it: _near_embeddings(it, threshold), "a bigint, b bigint").distinct()
-    return verified(rows, pairs, threshold)
+    pairs = met.join(end("x", "a"), "x").join(end("y", "b"), "y").where(in_range).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "va", "vb")
+    return verified(rows, pairs.mapInArrow(lambda it: _near_embeddings(it, threshold), "a bigint, b bigint"), threshold)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -196,30 +276,39 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def _linked(chunks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links between representatives, and members of classes with their text keys."""
     rows = function_chunks(chunks)
-    points = embedded(rows, threshold, order_of(rows))
+    points = written(embedded(rows), "points")
     links = class_links(rows, points, threshold)
-    sizes = points.select("class_key", "chunk_no").groupBy("class_key").agg(F.min("chunk_no").alias("class_id"), F.count_distinct("chunk_no").alias("copies"))
-    return links, points.select("class_key", "text_key", "chunk_no").distinct().join(sizes, "class_key").drop("class_key")
+    return links, _members(points)
+
+
+def _members(points: DataFrame) -> DataFrame:
+    sizes = points.groupBy("class_key").agg(F.min("chunk_no").alias("class_id"), F.count_distinct("chunk_no").alias("copies"))
+    return points.select("class_key", "text_key", "chunk_no").distinct().join(sizes, "class_key").drop("class_key")
+
+
+def links(chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """a, b, similarity of representatives of classes."""
+    return _linked(chunks, threshold)[0]
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Links between representatives (a, b, similarity) and members (chunk_no, class_id, copies) of all classes."""
-    links, members = _linked(chunks, threshold)
-    return links, members.select("chunk_no", "class_id", "copies").distinct()
+def classes(chunks: DataFrame) -> DataFrame:
+    """chunk_no, class_id (the least chunk_no of equal fingerprints), copies, of all chunks with a fingerprint."""
+    return _members(embedded(function_chunks(chunks))).select("chunk_no", "class_id", "copies").distinct()
 
 
-def found(chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
+def found(chunks: DataFrame, threshold: float = 0.7, expand: int | None = EXPAND) -> DataFrame:
     """chunk_no_a < chunk_no_b of similar chunks: links of classes expanded by their members, and pairs of copies."""
-    links, members = _linked(chunks, threshold)
+    linked, members = _linked(chunks, threshold)
     # what stands for a class in links: all its members, but of many exact copies one
     alike = Window.partitionBy("class_id", "text_key")
-    members = members.withColumn("n_alike", F.when(F.col("copies") > EXPAND, F.count("*").over(alike)).otherwise(0)).withColumn("first_alike", F.when(F.col("copies") > EXPAND, F.min("chunk_no").over(alike)))
-    shown = members.where((F.col("n_alike") <= EXPAND) | (F.col("chunk_no") == F.col("first_alike")))
-    many = shown.where("copies > 1").groupBy("class_id").agg(F.collect_list("chunk_no").alias("nos"))
-    side = lambda name: many.select(F.col("class_id").alias(name), F.col("nos").alias(f"{name}_nos"))
-    wide = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    wide = wide.select(F.explode(F.coalesce("a_nos", F.array("a"))).alias("x"), F.coalesce("b_nos", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))
-    copies = many.select(F.explode("nos").alias("x"), F.col("nos").alias("ys")).select("x", F.explode("ys").alias("y")).where("x < y")
-    star = members.where((F.col("n_alike") > EXPAND) & (F.col("chunk_no") != F.col("first_alike"))).select(F.col("first_alike").alias("x"), F.col("chunk_no").alias("y"))
+    many_copies = F.col("copies") > (expand if expand is not None else (1 << 62))
+    members = members.withColumn("n_alike", F.when(many_copies, F.count("*").over(alike)).otherwise(0)).withColumn("first_alike", F.when(many_copies, F.min("chunk_no").over(alike)))
+    starred = many_copies & (F.col("n_alike") > (expand or 0))
+    shown = members.where(~starred | (F.col("chunk_no") == F.col("first_alike")))
+    many = shown.where("copies > 1").select("class_id", "chunk_no")
+    side = lambda name: many.select(F.col("class_id").alias(name), F.col("chunk_no").alias(f"{name}_no"))
+    wide = linked.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_no", "a").alias("x"), F.coalesce("b_no", "b").alias("y"))
+    copies = many.select("class_id", F.col("chunk_no").alias("x")).join(many.select("class_id", F.col("chunk_no").alias("y")), "class_id").where("x < y").select("x", "y")
+    star = members.where(starred & (F.col("chunk_no") != F.col("first_alike"))).select(F.col("first_alike").alias("x"), F.col("chunk_no").alias("y"))
     every = wide.unionByName(copies).unionByName(star).where("x <> y")
     return every.select(F.least("x", "y").alias("chunk_no_a"), F.greatest("x", "y").alias("chunk_no_b")).distinct()

@@ -25,7 +25,7 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: p4_prose.prose(t(s, d, "contents"), t(s, d, "files"), t(s, d, "documents")).select("file_id", "lang"),
         "p4_shares": lambda s, d: p4_prose.prose(t(s, d, "contents"), t(s, d, "files"), t(s, d, "documents")),
         "p5_found": lambda s, d: p5_near.found(t(s, d, "chunks")),
-        "p5_classes": lambda s, d: p5_near.near_duplicates(t(s, d, "chunks"))[1],
+        "p5_classes": lambda s, d: p5_near.classes(t(s, d, "chunks")),
         "p6_found": lambda s, d: p6_secrets.credentials(t(s, d, "contents")).select("file_id", "line_no").distinct(),
         "p6_redacted": lambda s, d: p6_secrets.redacted(t(s, d, "contents"), "file_id", "path", "content").dropDuplicates(["file_id"]),
         "p6_chunks": lambda s, d: p6_secrets.redacted(t(s, d, "chunks"), "chunk_no", "file_path", "content").dropDuplicates(["chunk_no"]),

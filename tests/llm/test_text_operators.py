@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sediment.llm import p4_prose, p5_near, p6_secrets, p7_encode, p8_leaks, p9_spans
@@ -82,21 +83,41 @@ def test_p5_against_brute_force(spark):
     assert p5_near.found(df.limit(0)).count() == 0
 
 
-def test_p5_large_class(spark, monkeypatch):
-    monkeypatch.setattr(p5_near, "EXPAND", 3)
+def test_p5_grid_meets_all_pairs():
+    """Every pair within the bound has a cell in common, one of them its own; sizes from 1 bit to hundreds."""
+    rng = np.random.default_rng(3)
+    for t in (0.5, 0.7, 0.8, 0.9):
+        grid, sets = p5_near.Grid(t), []
+        for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 17, 30, 60, 200):
+            for _ in range(12):
+                a = set(rng.integers(0, 1 << 63, n).tolist())
+                keep = set(list(a)[: max(1, round(n * rng.uniform(t, 1)))])
+                sets.append((a, keep | set(rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 2)).tolist())))
+        for a, b in sets:
+            if len(a & b) < t * len(a | b):
+                continue
+            bits = [np.sort(np.asarray(list(x), np.uint64) * np.uint64(2)) for x in (a, b)]
+            cell, owner, role = grid.cells(np.concatenate(bits), np.asarray([len(a), len(b)]))
+            own, below = ([set(cell[(owner == i) & (role == r)].tolist()) for i in (0, 1)] for r in (0, 1))
+            assert own[0] & (own[1] | below[1]) or own[1] & below[0], (t, len(a), len(b))
+
+
+def test_p5_large_class(spark):
     text = "# h\n" + " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(i, "function", text) for i in range(6)] + [(9, "function", text + " more")], "chunk_no bigint, symbol_type string, content string")
-    assert {tuple(r) for r in p5_near.found(df).collect()} == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
-    assert {r["class_id"] for r in p5_near.near_duplicates(df)[1].where("chunk_no < 6").collect()} == {0}
+    assert {tuple(r) for r in p5_near.found(df, expand=3).collect()} == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
+    nos = (0, 1, 2, 3, 4, 5, 9)
+    assert {tuple(r) for r in p5_near.found(df, expand=None).collect()} == {(a, b) for a in nos for b in nos if a < b}
+    assert {r["class_id"] for r in p5_near.classes(df).where("chunk_no < 6").collect()} == {0}
+    assert [tuple(r)[:2] for r in p5_near.links(df).collect()] == [(0, 9)]
 
 
-def test_p5_large_class_of_different_texts(spark, monkeypatch):
-    monkeypatch.setattr(p5_near, "EXPAND", 3)
+def test_p5_large_class_of_different_texts(spark):
     text = "# h\n" + " ".join(f"t{i}" for i in range(30))
     rows = [(i, text.replace(" t1 ", f" {'+' * (i + 1)} t1 ")) for i in range(5)] + [(i, text) for i in range(10, 15)] + [(20, text + " more")]
     df = spark.createDataFrame([(i, "function", t) for i, t in rows], "chunk_no bigint, symbol_type string, content string")
     shown = [0, 1, 2, 3, 4, 10, 20]
-    assert {tuple(r) for r in p5_near.found(df).collect()} == {(a, b) for a in shown for b in shown if a < b} | {(10, i) for i in range(11, 15)}
+    assert {tuple(r) for r in p5_near.found(df, expand=3).collect()} == {(a, b) for a in shown for b in shown if a < b} | {(10, i) for i in range(11, 15)}
 
 
 SECRETS = [
