@@ -19,8 +19,10 @@ a known number of bits of the other half, hence one of the first few of them: th
 Pairs of one cell are then held against the Manhattan bound on the bit counts of SEGMENTS segments of the whole space, and
 what is left is verified exactly on the sets themselves.  No pair is lost by any of this, at any size.
 
-Fingerprints that are equal form one class, and the join sees classes only: a task files a class once, and what several tasks
-file is made distinct in the exchange.  ``found`` expands classes to pairs of chunks; of more than ``expand`` chunks of one
+Cells travel in blobs by bucket, and a task pairs the members of the cells of its bucket; the members of a cell with more than
+BLOCK of them are paired in blocks, and each pair of blocks goes to another task.
+
+Fingerprints that are equal form one class, and the join sees classes only; a task files a class once.  ``found`` expands classes to pairs of chunks; of more than ``expand`` chunks of one
 class with equal text behind the first line the one with the least number stands for them in pairs with others, they are
 paired with it, and ``classes`` has every member; expand=None gives all pairs.
 
@@ -43,9 +45,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SEGMENTS = 32
+SEGMENTS = 64
 FINE = 10
 EXPAND = 256
+#: Cells with more members are paired in blocks of this size, each pair of blocks by whichever task.
+BLOCK = 512
+#: Chunks for one bucket of cells.
+BUCKET_CHUNKS = 20_000
+#: Pairs up to which the numbers of their chunks (16 bytes a pair at most) are broadcast to the texts.
+FEW = 500_000
 _TOKEN = re.compile(r"[a-z0-9_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -97,8 +105,9 @@ class Shingler:
 
 
 def embed(bits: np.ndarray) -> bytes:
-    """Bit counts per segment, one byte each; counts of 255 and more are 255, which keeps the bound a lower one."""
-    return np.minimum(np.bincount((bits >> np.uint64(64 - 5)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+    """Bit counts per segment, half a byte each; counts of 15 and more are 15, which keeps the bound a lower one."""
+    n = np.minimum(np.bincount((bits >> np.uint64(64 - 6)).astype(np.int64), minlength=SEGMENTS), 15).astype(np.uint8)
+    return (n[0::2] | n[1::2] << 4).tobytes()
 
 
 def function_chunks(chunks: DataFrame) -> DataFrame:
@@ -196,17 +205,39 @@ def embedded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk_no bigint, class_key binary, name bigint, text_key binary, n_bits int, embedding binary")
 
 
-def filed(rows: DataFrame, threshold: float) -> DataFrame:
-    """cell, tag (a class's short name, with the role as lowest bit), of every class; once per task."""
+def filed(rows: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """Cells of every class, once per task, in blobs by bucket: names of classes, numbers of own cells and of those below, cells."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, grid, done = Shingler(), Grid(threshold), set()
+        names, bits_, sizes_ = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            cell, owner, role = grid.cells(np.concatenate(bits_), np.concatenate(sizes_))
+            bucket = (cell % np.uint64(buckets)).astype(np.int64)
+            line = (bucket * len(names) + owner) * 2 + role
+            order = np.argsort(line, kind="stable")
+            cell, line = cell[order], line[order]
+            # one entry for each bucket and owner in it
+            entry = line // 2
+            first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+            n = np.diff(np.append(first, len(cell)))
+            below = np.add.reduceat(line & 1, first)
+            of, whose = entry[first] // len(names), np.asarray(names, np.int64)[entry[first] % len(names)]
+            head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            out = []
+            for i, j in zip(head, np.append(head[1:], len(of))):
+                lo, hi = first[i], first[j] if j < len(of) else len(cell)
+                out.append((int(of[i]), whose[i:j].tobytes(), (n[i:j] - below[i:j]).astype(np.int32).tobytes(), below[i:j].astype(np.int32).tobytes(), cell[lo:hi].tobytes()))
+            names.clear(), bits_.clear(), sizes_.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "names", "own", "below", "cells"])
+
         for whole in it:
             for start in range(0, whole.num_rows, 1000):
                 bits, sizes = sh.fingerprints(whole.slice(start, 1000).column("content").to_pylist())
                 if len(done) > Shingler.LIMIT:
                     done.clear()
-                names, keep, at = [], np.zeros(len(sizes), bool), 0
+                keep, at = np.zeros(len(sizes), bool), 0
                 for i, n in enumerate(sizes.tolist()):
                     key = _digest(bits[at : at + n].tobytes()) if n else b""
                     if key and key not in done:
@@ -214,43 +245,108 @@ def filed(rows: DataFrame, threshold: float) -> DataFrame:
                         keep[i] = True
                         names.append(_name(key))
                     at += n
-                if names:
-                    cell, owner, role = grid.cells(bits[np.repeat(keep, sizes)], sizes[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(np.asarray(names, np.int64)[owner] | role)], names=["cell", "tag"])
+                if keep.any():
+                    bits_.append(bits[np.repeat(keep, sizes)])
+                    sizes_.append(sizes[keep])
+                if sum(map(len, bits_)) > 500_000:
+                    yield flush()
+        if names:
+            yield flush()
+
+    return rows.select("content").mapInArrow(run, "bucket int, names binary, own binary, below binary, cells binary")
 
-    return rows.select("content").mapInArrow(run, "cell bigint, tag bigint")
+
+def _met(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of names that meet in a cell, one of them in its own; for cells of many members, pairs of blocks of them."""
+    tags, cells = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for b in it:
+        for name, own, below, cell in zip(*[b.column(c).to_pylist() for c in ("names", "own", "below", "cells")]):
+            name, own, below = np.frombuffer(name, np.int64), np.frombuffer(own, np.int32), np.frombuffer(below, np.int32)
+            tags.append(np.repeat(np.stack([name, name | 1], 1).ravel(), np.stack([own, below], 1).ravel()))
+            cells.append(np.frombuffer(cell, np.uint64))
+    tag, cell = np.concatenate(tags), np.concatenate(cells)
+    del tags, cells
+    order = np.argsort(cell, kind="stable")
+    tag, cell = tag[order], cell[order]
+    new = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(cell)))
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("xs", pa.binary()), ("ys", pa.binary())])
+    for lo, n in zip(first[count > BLOCK].tolist(), count[count > BLOCK].tolist()):
+        run = np.unique(tag[lo : lo + n])
+        blocks = [run[i : i + BLOCK] for i in range(0, len(run), BLOCK)]
+        for i, x in enumerate(blocks):
+            many = blocks[i:]
+            spread = pa.array([hash((lo, i, j)) for j in range(len(many))], pa.int64())
+            yield pa.RecordBatch.from_arrays([spread, pa.nulls(len(many), pa.int64()), pa.array([x.tobytes()] * len(many), pa.binary()), pa.array([y.tobytes() for y in many], pa.binary())], schema=schema)
+    live = np.flatnonzero(np.repeat(count <= BLOCK, count) & ~new)
+    pairs, step = [], 1
+    # members one place apart in a cell, then two, and so on
+    while len(live):
+        pairs.append(_pairs(tag[live - step], tag[live]))
+        step += 1
+        live = live[live >= step]
+        live = live[cell[live - step] == cell[live]]
+        if sum(map(len, pairs)) > 2_000_000:
+            yield _as_batch(np.unique(np.concatenate(pairs), axis=0), schema)
+            pairs = []
+    if pairs:
+        yield _as_batch(np.unique(np.concatenate(pairs), axis=0), schema)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    ok = (x & y & 1) == 0
+    x, y = x[ok] & ~1, y[ok] & ~1
+    both = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+    return both[both[:, 0] != both[:, 1]]
+
+
+def _as_batch(pairs: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary()), pa.nulls(len(pairs), pa.binary())], schema=schema)
+
+
+def _of_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        plain = b.filter(b.column("y").is_valid())
+        yield plain.select(["x", "y"])
+        blocks = b.filter(b.column("xs").is_valid())
+        for xs, ys in zip(blocks.column("xs").to_pylist(), blocks.column("ys").to_pylist()):
+            x, y = np.frombuffer(xs, np.int64), np.frombuffer(ys, np.int64)
+            pairs = np.unique(_pairs(np.repeat(x, len(y)), np.tile(y, len(x))), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
 
 
 def _near_embeddings(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in it:
         if not b.num_rows:
             continue
-        v = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("va", "vb")]
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2) for c in ("va", "vb"))
         total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-        ok = np.abs(v[0] - v[1]).sum(1) <= (1 - threshold) / (1 + threshold) * total + 1e-9
+        distance = sum(np.abs(f(x).astype(np.int8) - f(y).astype(np.int8)).sum(1, dtype=np.int32) for f in (lambda v: v & 15, lambda v: v >> 4))
+        ok = distance <= (1 - threshold) / (1 + threshold) * total + 1e-9
         yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
 def class_links(rows: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     """a < b: representatives of classes whose fingerprints are at least that similar, verified on the sets."""
-    # both sides take one exchange, so that it is made once and reused; the condition on roles names both for that reason
-    cells = filed(rows, threshold).where("cell IS NOT NULL").repartition("cell").distinct()
-    side = lambda s: cells.select("cell", F.col("tag").alias(s))
-    name = lambda s: F.col(s).bitwiseAND(F.lit(-2))
-    met = side("x").join(side("y"), "cell").where((name("x") < name("y")) & (F.col("x").bitwiseAND(F.col("y")).bitwiseAND(F.lit(1)) == 0))
-    met = met.select(name("x").alias("x"), name("y").alias("y")).repartition("x").distinct()
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count() // BUCKET_CHUNKS)
+    cells = filed(rows, threshold, buckets).repartition(buckets, "bucket")
+    met = cells.mapInArrow(_met, "x bigint, y bigint, xs binary, ys binary").repartition("x").mapInArrow(_of_blocks, "x bigint, y bigint").distinct()
     reps = points.groupBy("class_key").agg(F.min("chunk_no").alias("rep"), F.first("name").alias("name"), F.first("n_bits").alias("n"), F.first("embedding").alias("v"))
     end = lambda s, c: reps.select(F.col("name").alias(s), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
     in_range = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     pairs = met.join(end("x", "a"), "x").join(end("y", "b"), "y").where(in_range).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "va", "vb")
-    return verified(rows, pairs.mapInArrow(lambda it: _near_embeddings(it, threshold), "a bigint, b bigint"), threshold)
+    near = written(pairs.mapInArrow(lambda it: _near_embeddings(it, threshold), "a bigint, b bigint").distinct(), "pairs")
+    return verified(rows, near, threshold)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose texts' sets are at least that similar; only texts of candidates move."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("chunk_no"), F.col("a"), F.col("b")), F.struct(F.col("b").alias("chunk_no"), F.col("a"), F.col("b")))).alias("e")).select("e.*")
-    wanted = ends.groupBy("chunk_no").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
-    texts = rows.join(wanted, "chunk_no").dropDuplicates(["chunk_no"]).select("chunk_no", F.explode("pairs").alias("p"), "content")
+    ids = ends.select("chunk_no").distinct()
+    if pairs.count() <= FEW:
+        ids = F.broadcast(ids)
+    texts = rows.join(ids, "chunk_no", "left_semi").dropDuplicates(["chunk_no"]).join(ends, "chunk_no")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler()
@@ -268,8 +364,7 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 sim = np.asarray(sims)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "similarity"]).filter(pa.array(sim >= threshold - 1e-12))
 
-    sides = texts.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "chunk_no", "content")
-    both = sides.groupBy("a", "b").agg(F.max(F.when(F.col("chunk_no") == F.col("a"), F.col("content"))).alias("ta"), F.max(F.when(F.col("chunk_no") == F.col("b"), F.col("content"))).alias("tb"))
+    both = texts.groupBy("a", "b").agg(F.max(F.when(F.col("chunk_no") == F.col("a"), F.col("content"))).alias("ta"), F.max(F.when(F.col("chunk_no") == F.col("b"), F.col("content"))).alias("tb"))
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sediment.llm import p4_prose, p5_near, p6_secrets, p7_encode, p8_leaks, p9_spans
@@ -102,6 +103,20 @@ def test_p5_grid_meets_all_pairs():
             assert own[0] & (own[1] | below[1]) or own[1] & below[0], (t, len(a), len(b))
 
 
+def test_p5_cell_of_many_members():
+    """A cell with more members than one block is paired in blocks, without loss; two below it are no pair."""
+    n, below = 1300, 40
+    names = np.arange(n, dtype=np.int64) * 2 + 2
+    role = (np.arange(n) < below).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (names, 1 - role, role, np.full(n, 7, np.uint64))], names=["names", "own", "below", "cells"])
+    out = list(p5_near._of_blocks(p5_near._met(iter([batch, batch]))))
+    got = {(x, y) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())}
+    assert len(got) == n * (n - 1) // 2 - below * (below - 1) // 2 and all(x < y for x, y in got)
+    few = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (names[:50], 1 - role[:50], role[:50], np.repeat(np.arange(10, dtype=np.uint64), 5))], names=["names", "own", "below", "cells"])
+    got = {tuple(r.values()) for b in p5_near._of_blocks(p5_near._met(iter([few]))) for r in b.to_pylist()}
+    assert got == {(int(names[i]), int(names[j])) for i in range(40, 50) for j in range(i + 1, 50) if i // 5 == j // 5}
+
+
 def test_p5_large_class(spark):
     text = "# h\n" + " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(i, "function", text) for i in range(6)] + [(9, "function", text + " more")], "chunk_no bigint, symbol_type string, content string")
