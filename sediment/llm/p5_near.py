@@ -51,7 +51,7 @@ EXPAND = 256
 #: Cells with more members are paired in blocks of this size, each pair of blocks by whichever task.
 BLOCK = 512
 #: Chunks for one bucket of cells.
-BUCKET_CHUNKS = 20_000
+BUCKET_CHUNKS = 8_000
 #: Pairs up to which the numbers of their chunks (16 bytes a pair at most) are broadcast to the texts.
 FEW = 500_000
 _TOKEN = re.compile(r"[a-z0-9_]+")
