@@ -16,8 +16,8 @@ most K bits and the region around it at least t (K + 1), since within the bound
 A region with a single bit would make poor cells.  The pair is within the bound in the region around it too, so it shares
 a known number of bits of the other half, hence one of the first few of them: the cell is that of the bit and one of those.
 
-Pairs of one cell are then held against the Manhattan bound on the bit counts of SEGMENTS segments of the whole space, and
-what is left is verified exactly on the sets themselves.  No pair is lost by any of this, at any size.
+Pairs of one cell are held at once against the Manhattan bound on the bit counts of SEGMENTS segments of the whole space,
+which travel with the cells, and what is left is verified exactly on the sets themselves.  No pair is lost by any of this, at any size.
 
 Cells travel in blobs by bucket, and a task pairs the members of the cells of its bucket; the members of a cell with more than
 BLOCK of them are paired in blocks, and each pair of blocks goes to another task.
@@ -45,13 +45,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SEGMENTS = 64
+SEGMENTS = 32
 FINE = 10
 EXPAND = 256
 #: Cells with more members are paired in blocks of this size, each pair of blocks by whichever task.
 BLOCK = 512
 #: Chunks for one bucket of cells.
-BUCKET_CHUNKS = 8_000
+BUCKET_CHUNKS = 20_000
 #: Pairs up to which the numbers of their chunks (16 bytes a pair at most) are broadcast to the texts.
 FEW = 500_000
 _TOKEN = re.compile(r"[a-z0-9_]+")
@@ -104,10 +104,24 @@ class Shingler:
         return bits, np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 
-def embed(bits: np.ndarray) -> bytes:
+#: A fingerprint as the cells carry it: a class's short name (with the role in a cell as lowest bit), bits, embedding.
+POINT = np.dtype([("tag", np.int64), ("n", np.int32), ("v", np.uint8, SEGMENTS // 2)])
+
+
+def embed(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bit counts per segment, half a byte each; counts of 15 and more are 15, which keeps the bound a lower one."""
-    n = np.minimum(np.bincount((bits >> np.uint64(64 - 6)).astype(np.int64), minlength=SEGMENTS), 15).astype(np.uint8)
-    return (n[0::2] | n[1::2] << 4).tobytes()
+    at = np.repeat(np.arange(len(sizes)), sizes) * SEGMENTS + (bits >> np.uint64(64 - 5)).astype(np.int64)
+    n = np.minimum(np.bincount(at, minlength=SEGMENTS * len(sizes)), 15).astype(np.uint8).reshape(-1, SEGMENTS)
+    return n[:, 0::2] | n[:, 1::2] << 4
+
+
+def within(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which points are within the Manhattan bound of each other and in the range of each other's number of bits."""
+    na, nb = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    distance = np.zeros(len(x), np.int32)
+    for half in (lambda v: v & 15, lambda v: v >> 4):
+        distance += np.abs(half(x["v"]).astype(np.int8) - half(y["v"]).astype(np.int8)).sum(1, dtype=np.int32)
+    return (distance <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9) & (na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)
 
 
 def function_chunks(chunks: DataFrame) -> DataFrame:
@@ -182,7 +196,7 @@ def _name(key: bytes) -> int:
 
 
 def embedded(rows: DataFrame) -> DataFrame:
-    """chunk_no, class key and short name, text key, bits and embedding of each chunk with a fingerprint."""
+    """chunk_no, class key and short name, text key of each chunk with a fingerprint."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler()
@@ -194,26 +208,28 @@ def embedded(rows: DataFrame) -> DataFrame:
                 out, at = [], 0
                 for no, n, text in zip(b.column("chunk_no").to_pylist(), sizes.tolist(), texts):
                     if n:
-                        own = bits[at : at + n]
-                        key = _digest(own.tobytes())
-                        out.append((no, key, _name(key), _digest(text.partition("\n")[2].encode("utf-8", "surrogatepass")), n, embed(own)))
+                        key = _digest(bits[at : at + n].tobytes())
+                        out.append((no, key, _name(key), _digest(text.partition("\n")[2].encode("utf-8", "surrogatepass"))))
                     at += n
                 if out:
-                    cols = zip(zip(*out), [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["chunk_no", "class_key", "name", "text_key", "n_bits", "embedding"])
+                    cols = zip(zip(*out), [pa.int64(), pa.binary(), pa.int64(), pa.binary()])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["chunk_no", "class_key", "name", "text_key"])
 
-    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, name bigint, text_key binary, n_bits int, embedding binary")
+    return rows.mapInArrow(run, "chunk_no bigint, class_key binary, name bigint, text_key binary")
 
 
 def filed(rows: DataFrame, threshold: float, buckets: int) -> DataFrame:
-    """Cells of every class, once per task, in blobs by bucket: names of classes, numbers of own cells and of those below, cells."""
+    """Cells of every class, once per task, in blobs by bucket: points, numbers of own cells and of those below, cells."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, grid, done = Shingler(), Grid(threshold), set()
         names, bits_, sizes_ = [], [], []
 
         def flush() -> pa.RecordBatch:
-            cell, owner, role = grid.cells(np.concatenate(bits_), np.concatenate(sizes_))
+            bits, sizes = np.concatenate(bits_), np.concatenate(sizes_)
+            point = np.empty(len(names), POINT)
+            point["tag"], point["n"], point["v"] = names, sizes, embed(bits, sizes)
+            cell, owner, role = grid.cells(bits, sizes)
             bucket = (cell % np.uint64(buckets)).astype(np.int64)
             line = (bucket * len(names) + owner) * 2 + role
             order = np.argsort(line, kind="stable")
@@ -223,14 +239,14 @@ def filed(rows: DataFrame, threshold: float, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
             n = np.diff(np.append(first, len(cell)))
             below = np.add.reduceat(line & 1, first)
-            of, whose = entry[first] // len(names), np.asarray(names, np.int64)[entry[first] % len(names)]
+            of, whose = entry[first] // len(names), point[entry[first] % len(names)]
             head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             out = []
             for i, j in zip(head, np.append(head[1:], len(of))):
                 lo, hi = first[i], first[j] if j < len(of) else len(cell)
                 out.append((int(of[i]), whose[i:j].tobytes(), (n[i:j] - below[i:j]).astype(np.int32).tobytes(), below[i:j].astype(np.int32).tobytes(), cell[lo:hi].tobytes()))
             names.clear(), bits_.clear(), sizes_.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "names", "own", "below", "cells"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "points", "own", "below", "cells"])
 
         for whole in it:
             for start in range(0, whole.num_rows, 1000):
@@ -253,91 +269,87 @@ def filed(rows: DataFrame, threshold: float, buckets: int) -> DataFrame:
         if names:
             yield flush()
 
-    return rows.select("content").mapInArrow(run, "bucket int, names binary, own binary, below binary, cells binary")
+    return rows.select("content").mapInArrow(run, "bucket int, points binary, own binary, below binary, cells binary")
 
 
-def _met(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of names that meet in a cell, one of them in its own; for cells of many members, pairs of blocks of them."""
-    tags, cells = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+def _met(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of names within the bound that meet in a cell, one of them in its own; for cells of many members, pairs of blocks of them."""
+    points, owners, cells, n_points = [np.empty(0, POINT)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     for b in it:
-        for name, own, below, cell in zip(*[b.column(c).to_pylist() for c in ("names", "own", "below", "cells")]):
-            name, own, below = np.frombuffer(name, np.int64), np.frombuffer(own, np.int32), np.frombuffer(below, np.int32)
-            tags.append(np.repeat(np.stack([name, name | 1], 1).ravel(), np.stack([own, below], 1).ravel()))
+        for point, own, below, cell in zip(*[b.column(c).to_pylist() for c in ("points", "own", "below", "cells")]):
+            point, own, below = np.frombuffer(point, POINT), np.frombuffer(own, np.int32), np.frombuffer(below, np.int32)
+            at = 2 * np.arange(n_points, n_points + len(point))
+            owners.append(np.repeat(np.stack([at, at | 1], 1).ravel(), np.stack([own, below], 1).ravel()))
+            points.append(point)
             cells.append(np.frombuffer(cell, np.uint64))
-    tag, cell = np.concatenate(tags), np.concatenate(cells)
-    del tags, cells
+            n_points += len(point)
+    point, owner, cell = np.concatenate(points), np.concatenate(owners), np.concatenate(cells)
+    del points, owners, cells
     order = np.argsort(cell, kind="stable")
-    tag, cell = tag[order], cell[order]
+    owner, cell = owner[order], cell[order]
     new = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.empty(0, bool)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(cell)))
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("xs", pa.binary()), ("ys", pa.binary())])
+
+    def member(i: np.ndarray) -> np.ndarray:
+        out = point[owner[i] >> 1]
+        out["tag"] |= owner[i] & 1
+        return out
+
     for lo, n in zip(first[count > BLOCK].tolist(), count[count > BLOCK].tolist()):
-        run = np.unique(tag[lo : lo + n])
-        blocks = [run[i : i + BLOCK] for i in range(0, len(run), BLOCK)]
+        blocks = [member(np.arange(i, min(i + BLOCK, lo + n))) for i in range(lo, lo + n, BLOCK)]
         for i, x in enumerate(blocks):
             many = blocks[i:]
             spread = pa.array([hash((lo, i, j)) for j in range(len(many))], pa.int64())
             yield pa.RecordBatch.from_arrays([spread, pa.nulls(len(many), pa.int64()), pa.array([x.tobytes()] * len(many), pa.binary()), pa.array([y.tobytes() for y in many], pa.binary())], schema=schema)
     live = np.flatnonzero(np.repeat(count <= BLOCK, count) & ~new)
-    pairs, step = [], 1
+    step, pairs = 1, [np.empty((0, 2), np.int64)]
     # members one place apart in a cell, then two, and so on
     while len(live):
-        pairs.append(_pairs(tag[live - step], tag[live]))
+        for i in range(0, len(live), 500_000):
+            part = live[i : i + 500_000]
+            pairs.append(_pairs(member(part - step), member(part), threshold))
         step += 1
         live = live[live >= step]
         live = live[cell[live - step] == cell[live]]
-        if sum(map(len, pairs)) > 2_000_000:
-            yield _as_batch(np.unique(np.concatenate(pairs), axis=0), schema)
-            pairs = []
-    if pairs:
-        yield _as_batch(np.unique(np.concatenate(pairs), axis=0), schema)
+    found = np.unique(np.concatenate(pairs), axis=0)
+    for i in range(0, len(found), 100_000):
+        part = found[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([*_columns(part), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], schema=schema)
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    ok = (x & y & 1) == 0
-    x, y = x[ok] & ~1, y[ok] & ~1
-    both = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
-    return both[both[:, 0] != both[:, 1]]
+def _pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    ok = ((x["tag"] & y["tag"] & 1) == 0) & ((x["tag"] ^ y["tag"]) & ~1 != 0)
+    x, y = x[ok], y[ok]
+    ok = within(x, y, threshold)
+    x, y = x["tag"][ok] & ~1, y["tag"][ok] & ~1
+    return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
 
-def _as_batch(pairs: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.binary()), pa.nulls(len(pairs), pa.binary())], schema=schema)
+def _columns(pairs: np.ndarray) -> list[pa.Array]:
+    return [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
 
 
-def _of_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_blocks(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in it:
         plain = b.filter(b.column("y").is_valid())
         yield plain.select(["x", "y"])
         blocks = b.filter(b.column("xs").is_valid())
         for xs, ys in zip(blocks.column("xs").to_pylist(), blocks.column("ys").to_pylist()):
-            x, y = np.frombuffer(xs, np.int64), np.frombuffer(ys, np.int64)
-            pairs = np.unique(_pairs(np.repeat(x, len(y)), np.tile(y, len(x))), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
-
-
-def _near_embeddings(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2) for c in ("va", "vb"))
-        total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-        distance = sum(np.abs(f(x).astype(np.int8) - f(y).astype(np.int8)).sum(1, dtype=np.int32) for f in (lambda v: v & 15, lambda v: v >> 4))
-        ok = distance <= (1 - threshold) / (1 + threshold) * total + 1e-9
-        yield b.select(["a", "b"]).filter(pa.array(ok))
+            x, y = np.frombuffer(xs, POINT), np.frombuffer(ys, POINT)
+            yield pa.RecordBatch.from_arrays(_columns(np.unique(_pairs(np.repeat(x, len(y)), np.tile(y, len(x)), threshold), axis=0)), names=["x", "y"])
 
 
 def class_links(rows: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     """a < b: representatives of classes whose fingerprints are at least that similar, verified on the sets."""
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count() // BUCKET_CHUNKS)
     cells = filed(rows, threshold, buckets).repartition(buckets, "bucket")
-    met = cells.mapInArrow(_met, "x bigint, y bigint, xs binary, ys binary").repartition("x").mapInArrow(_of_blocks, "x bigint, y bigint").distinct()
-    reps = points.groupBy("class_key").agg(F.min("chunk_no").alias("rep"), F.first("name").alias("name"), F.first("n_bits").alias("n"), F.first("embedding").alias("v"))
-    end = lambda s, c: reps.select(F.col("name").alias(s), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
-    in_range = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    pairs = met.join(end("x", "a"), "x").join(end("y", "b"), "y").where(in_range).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "va", "vb")
-    near = written(pairs.mapInArrow(lambda it: _near_embeddings(it, threshold), "a bigint, b bigint").distinct(), "pairs")
-    return verified(rows, near, threshold)
+    met = cells.mapInArrow(lambda it: _met(it, threshold), "x bigint, y bigint, xs binary, ys binary").repartition("x").mapInArrow(lambda it: _of_blocks(it, threshold), "x bigint, y bigint").distinct()
+    reps = points.groupBy("class_key").agg(F.min("chunk_no").alias("rep"), F.first("name").alias("name"))
+    end = lambda s, c: reps.select(F.col("name").alias(s), F.col("rep").alias(c))
+    near = met.join(end("x", "a"), "x").join(end("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(rows, written(near, "pairs"), threshold)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:

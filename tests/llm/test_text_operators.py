@@ -104,17 +104,22 @@ def test_p5_grid_meets_all_pairs():
 
 
 def test_p5_cell_of_many_members():
-    """A cell with more members than one block is paired in blocks, without loss; two below it are no pair."""
+    """A cell with more members than one block is paired in blocks, without loss; two below it are no pair, nor two out of range."""
     n, below = 1300, 40
-    names = np.arange(n, dtype=np.int64) * 2 + 2
+    point = np.zeros(n, p5_near.POINT)
+    point["tag"], point["n"] = np.arange(n) * 2 + 2, 50
     role = (np.arange(n) < below).astype(np.int32)
-    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (names, 1 - role, role, np.full(n, 7, np.uint64))], names=["names", "own", "below", "cells"])
-    out = list(p5_near._of_blocks(p5_near._met(iter([batch, batch]))))
-    got = {(x, y) for b in out for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())}
+
+    def met(point, role, cell):
+        batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (point, 1 - role, role, cell)], names=["points", "own", "below", "cells"])
+        return {tuple(r.values()) for b in p5_near._of_blocks(p5_near._met(iter([batch, batch]), 0.7), 0.7) for r in b.to_pylist()}
+
+    got = met(point, role, np.full(n, 7, np.uint64))
     assert len(got) == n * (n - 1) // 2 - below * (below - 1) // 2 and all(x < y for x, y in got)
-    few = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (names[:50], 1 - role[:50], role[:50], np.repeat(np.arange(10, dtype=np.uint64), 5))], names=["names", "own", "below", "cells"])
-    got = {tuple(r.values()) for b in p5_near._of_blocks(p5_near._met(iter([few]))) for r in b.to_pylist()}
-    assert got == {(int(names[i]), int(names[j])) for i in range(40, 50) for j in range(i + 1, 50) if i // 5 == j // 5}
+    point["n"][45], point["v"][46] = 10, 0xFF
+    names = point["tag"].tolist()
+    got = met(point[:50], role[:50], np.repeat(np.arange(10, dtype=np.uint64), 5))
+    assert got == {(names[i], names[j]) for i in range(40, 50) for j in range(i + 1, 50) if i // 5 == j // 5 and not {i, j} & {45, 46}}
 
 
 def test_p5_large_class(spark):
