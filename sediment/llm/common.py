@@ -25,8 +25,8 @@ def language_of(path: Column) -> Column:
 
 
 def code_files(contents: DataFrame, *extra: str) -> DataFrame:
-    """Rows of ``contents`` that are code files with content, with their language."""
-    df = contents.select("file_id", *extra, language_of(F.col("path")).alias("language"), "content")
+    """Rows of ``contents`` that are code files with content: file_id, extra columns, language, content, and whether the path allows JSX."""
+    df = contents.select("file_id", *extra, language_of(F.col("path")).alias("language"), "content", F.col("path").rlike(r"(?i)\.[jt]sx$").alias("jsx"))
     return df.where("file_id IS NOT NULL AND content IS NOT NULL AND language IS NOT NULL")
 
 

@@ -10,6 +10,7 @@ import re
 from functools import cache
 
 from .glr import Config, Grammar, Machine, text_of
+from .jsx import without_elements
 
 #: Language names, as in the tables, and the grammars that make them up.
 LANGUAGES = {
@@ -348,9 +349,11 @@ def parser(lang: str) -> tuple[Machine, Kinds]:
     return _MACHINES.get(lang, Machine)(g), Kinds(lang, g.terminals)
 
 
-def first_error(lang: str, text: str) -> tuple[int, str] | None:
+def first_error(lang: str, text: str, jsx: bool = False) -> tuple[int, str] | None:
     """Line and text of the first token at which the file stops being a prefix of the language; None if it is valid."""
     machine, kinds = parser(lang)
+    if jsx and "<" in text and (plain := without_elements(text, _pattern(lang).match)) != text:
+        text = plain
     if lang == "Python":
         text = text.lstrip("﻿")
         text = "\n" + text if not text.startswith("\n") else text

@@ -2,8 +2,7 @@
 
 Each code file is read in full by the recogniser of its language (``glr``, ``lexers``): bundled grammars, LR tables
 that fill on demand, all conflicts kept.  The first token at which no stack survives is the file's first unrecoverable
-error.  For Python, files that the grammar rejects are looked at again by the interpreter's own parser, whose word is
-final (the running version must be the one the files are held against, 3.13); the other languages have no such second look.
+error.  In files whose path ends in .jsx or .tsx, elements are read too (``jsx``).  Nothing looks at a file a second time.
 
 Defined results: null content is no case; empty files, and files of blanks and comments alone, are valid; repeated rows
 give one result; rates count each file once; a language other than the eight is ignored; an empty table gives none.
@@ -11,8 +10,6 @@ give one result; rates count each file once; a language other than the eight is
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -23,34 +20,21 @@ from .common import code_files, confirmed, over
 from .lexers import first_error
 
 
-def python_accepts(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return False
-    return True
-
-
-def syntax_error(language: str, text: str) -> tuple[int, str] | None:
+def syntax_error(language: str, text: str, jsx: bool = False) -> tuple[int, str] | None:
     """Line and token of the first unrecoverable error, or None for a valid file."""
-    error = first_error(language, text)
-    if error and language == "Python" and python_accepts(text):
-        return None
-    return error
+    return first_error(language, text, jsx)
 
 
 def _scan(rows: Iterable[tuple]) -> Iterable[tuple]:
-    for file_id, repo, language, content in rows:
-        error = syntax_error(language, content)
+    for file_id, repo, language, content, jsx in rows:
+        error = syntax_error(language, content, jsx)
         yield file_id, repo, language, error is not None, error and error[0], error and error[1][:80]
 
 
 def scan(contents: DataFrame) -> DataFrame:
     """One row per code file delivered: file_id, repo, language, parse_error, error_line, error_token."""
     return over(
-        code_files(contents, "repo").select("file_id", "repo", "language", "content"),
+        code_files(contents, "repo"),
         _scan,
         "file_id bigint, repo string, language string, parse_error boolean, error_line int, error_token string",
         ["file_id", "repo", "language", "parse_error", "error_line", "error_token"],

@@ -127,7 +127,7 @@ def capture(language: str, text: str, starts: list[int], name: str, line: int) -
 
 
 def _pairs(rows: Iterable[tuple], with_code: bool) -> Iterable[tuple]:
-    for file_id, language, content, functions in rows:
+    for file_id, language, content, jsx, functions in rows:
         starts = [0]
         while (at := content.find("\n", starts[-1])) >= 0:
             starts.append(at + 1)
@@ -139,7 +139,7 @@ def _pairs(rows: Iterable[tuple], with_code: bool) -> Iterable[tuple]:
             got = capture(language, content, starts, f["name"], f["line_start"])
             if got and descriptive(got[0], f["name"]):
                 found[f["name"], f["line_start"]] = got
-        if found and syntax_error(language, content) is None:
+        if found and syntax_error(language, content, jsx) is None:
             for (name, line), (doc, code) in found.items():
                 yield (file_id, language, name, line, doc, code) if with_code else (file_id, language, name, line)
 
@@ -147,7 +147,7 @@ def _pairs(rows: Iterable[tuple], with_code: bool) -> Iterable[tuple]:
 def documented(contents: DataFrame, symbols: DataFrame, files: DataFrame, with_code: bool = True) -> DataFrame:
     """file_id, name, line_start and, with_code, description and code, of functions with real documentation."""
     listed = symbols.where("size(functions) > 0").select("file_id", F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["line_start"].cast("bigint").alias("line_start"))).alias("functions"))
-    rows = code_files(contents).join(listed.hint("shuffle_hash"), "file_id").select("file_id", "language", "content", "functions")
+    rows = code_files(contents).join(listed.hint("shuffle_hash"), "file_id").select("file_id", "language", "content", "jsx", "functions")
     names = ["file_id", "language", "name", "line_start"] + ["description", "code"] * with_code
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.string(), pa.string()] * with_code
     schema = "file_id bigint, language string, name string, line_start bigint" + ", description string, code string" * with_code

@@ -1,32 +1,34 @@
 """Problem 4: natural language inside code, its language and its share of each file.
 
-A hidden Markov model over characters has one state for code and one for each language; a state emits the trigram that
-ends at a character, and changing the state costs a fixed penalty.  Outside comments and literals the state is held at
-code, so a whole file's best path falls apart into independent paths over its comments and literals, which are found for
-many of them in step.  A passage (a docstring, adjacent line comments, a block comment, adjacent parts of a literal) counts
-in a language if enough of its words lie on that language's state.
-
-The emissions are trained on labelled ``documents`` (at most ``SAMPLE_ROWS`` rows of each language) and on the code outside
-comments and literals of at most ``SAMPLE_FILES`` files.  Every file is segmented in full.
+A hidden Markov model over the characters of a file has one state for code and one for each language; a state emits the
+trigram that ends at a character, and changing the state costs a fixed penalty.  Outside comments and literals the state is
+held at code.  A path that is held there is entered and left at code, so the best path of the whole file is made of the best
+paths of its comments and literals, between code on both sides; these are found for many of them in step, on the file's own
+characters.  Comments and literals of fewer words than count are held at code too.  A passage (a docstring, adjacent line
+comments, a block comment, adjacent parts of a literal) counts in a language if enough of its words lie on that language's
+state; words of tags, parameter lists, statements and encoded data are no words.
+
+The emissions are trained on labelled ``documents`` (at most ``SAMPLE_ROWS`` rows of each language), on the code outside
+comments and literals of at most ``SAMPLE_FILES`` files, and on NOTICES.  Both samples are those with the least hash of their
+key, so they do not depend on the order of rows.  Every file is segmented in full.
 
 Defined results: null content gives nothing; files that do not parse (problem 1) give nothing; repeated rows give one
-result; without documents to train on there is no result.
+result; without documents to train on only the languages of NOTICES have a state that says anything; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_files, confirmed, over
 from .p1_syntax import syntax_error
-from .prose import CJK, prose_lines, strip_noise, words
+from .prose import CJK, blanked, prose_lines, strip_noise
 
 LANGS = ("en", "de", "fr", "es", "pt", "pl", "ru", "zh")
 SAMPLE_ROWS = 400
@@ -71,24 +73,32 @@ _SPANS["TypeScript"], _SPANS["C++"] = _SPANS["JavaScript"], _SPANS["C"]
 _MARK = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*(?!/)|///?!?|//!|#+!?)[ \t]?|[ \t]*\*+/[ \t\r]*$", re.M)
 _PARTS = {"Python": re.compile(_PY_STR), "Rust": re.compile(_RUST)}
 _PART = re.compile(rf'"""[\s\S]*?"""|{_TPL}|{_STR}')
+_QUOTES = re.compile(r"^[A-Za-z]{0,2}(?:r?#*)?(\"\"\"|'''|[\"'`])|(?:\"\"\"|'''|[\"'`])#*$")
 _SIX = re.compile(r"(?:[^\W\d_]+[^\w\n]*\s+\W*(?:\w+\W+){0,3}?){3}|[㐀-鿿][^\n]{3}")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
-def passages(language: str, text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, length and bare text of the comments and literals of a file that may hold prose."""
+def _blank(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m[0])
+
+
+def passages(language: str, text: str) -> Iterator[tuple[int, str, str]]:
+    """Start and text of the comments and literals of a file that may hold prose, and the text with marks, seams and escapes blanked."""
     for m in _SPANS[language].finditer(text):
         s = m[0]
         if len(s) < 14 or not _SIX.search(s):
             continue
         if s[0] in "#/":
-            body = _MARK.sub("", s)
+            body = _MARK.sub(_blank, s)
         else:
-            parts = [re.sub(r"^[A-Za-z]{0,2}(?:r?#*)?(\"\"\"|'''|[\"'`])|(?:\"\"\"|'''|[\"'`])#*$", "", p[0]) for p in _PARTS.get(language, _PART).finditer(s)]
-            body = "".join(parts)
+            at, out = 0, []
+            for p in _PARTS.get(language, _PART).finditer(s):
+                out += [re.sub(r"\S", " ", s[at : p.start()]), _QUOTES.sub(_blank, p[0])]
+                at = p.end()
+            body = "".join([*out, re.sub(r"\S", " ", s[at:])])
             if "\\" in body:
-                body = body.replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"').replace("\\'", "'")
-        yield m.start(), len(s), body
+                body = body.replace("\\n", " \n").replace("\\t", "  ").replace('\\"', ' "').replace("\\'", " '")
+        yield m.start(), s, body
 
 
 def trigram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,19 +125,15 @@ def emissions(samples: dict[str, list[str]]) -> np.ndarray:
 
 
 def train(contents: DataFrame, documents: DataFrame) -> np.ndarray:
-    """Emissions from bounded samples of labelled rows."""
-    lang = F.lower(F.substring("lang", 1, 2))
-    labelled = documents.where("text IS NOT NULL AND kind <> 'code'").select(lang.alias("name"), "text")
-    code = code_files(contents).where("length(content) > 200").select(F.lit("code").alias("name"), F.concat_ws("\x01", "language", "content").alias("text")).limit(SAMPLE_FILES)
-    rows = reduce(DataFrame.unionAll, [labelled.where(F.col("name") == x).limit(SAMPLE_ROWS) for x in LANGS] + [code]).collect()
-    samples: dict[str, list[str]] = {}
-    for name, text in rows:
-        if name == "code":
-            language, _, text = text.partition("\x01")
-            text = _SPANS[language].sub("\n", text)
-        else:
-            text = strip_noise("\n".join(prose_lines(text)))
-        samples.setdefault(name, []).append(text)
+    """Emissions from bounded samples of labelled rows; only the sampled rows' texts come to the driver."""
+    labelled = documents.where("doc_id IS NOT NULL AND kind <> 'code'").select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("name"), F.xxhash64("doc_id").alias("h"))
+    least = Window.partitionBy("name").orderBy("h", "doc_id")
+    names = dict(labelled.where(F.col("name").isin(*LANGS)).withColumn("k", F.row_number().over(least)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "name").collect())
+    texts = documents.where(F.col("doc_id").isin(*names) & F.col("text").isNotNull()).select("doc_id", "text").collect() if names else []
+    code = code_files(contents).where("length(content) > 200").select("language", "content").orderBy(F.xxhash64("file_id"), "content").limit(SAMPLE_FILES).collect()
+    samples: dict[str, list[str]] = {"code": [_SPANS[language].sub("\n", text) for language, text in code]}
+    for doc, text in sorted(texts):
+        samples.setdefault(names[doc], []).append(strip_noise("\n".join(prose_lines(text))))
     return emissions(samples)
 
 
@@ -161,7 +167,8 @@ def decode(table: np.ndarray, texts: list[str], width: int = 512) -> list[np.nda
             back[t] = np.where(stay, own, best[:, None].astype(np.int8))
             step = np.where(stay, v, top) + table_t[grid[t]]
             v = np.where(live[t][:, None], step, v)
-        state = v.argmax(1).astype(np.int8)
+        # behind the passage stands code again
+        state = (v - SWITCH * (own != 0)).argmax(1).astype(np.int8)
         path = np.zeros((steps, n), np.int8)
         r = np.arange(n)
         for t in range(steps - 1, -1, -1):
@@ -173,27 +180,22 @@ def decode(table: np.ndarray, texts: list[str], width: int = 512) -> list[np.nda
     return out
 
 
-def prose_of(table: np.ndarray, bodies: list[str]) -> list[dict[str, tuple[int, int]]]:
-    """For each passage the languages it holds enough words of, with the number of words or characters and of characters of text."""
-    clean = [strip_noise("\n".join(prose_lines(b))) for b in bodies]
+def prose_of(table: np.ndarray, found: list[tuple[str, str]]) -> list[dict[str, tuple[int, int]]]:
+    """For each passage (text, and text with marks blanked) the languages it holds enough words of, with the number of words or characters and of characters of text."""
     out = []
-    for text, states in zip(clean, decode(table, clean)):
+    for (_, body), states in zip(found, decode(table, [s for s, _ in found])):
         counts: dict[int, int] = {}
-        chars = np.bincount(states, minlength=table.shape[0]) if len(states) else None
-        if len(states) == len(text):
-            for m in re.finditer(r"(?<![\w./\\@:#$-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w/\\@(\[=])", text):
-                w = m[0]
-                if CJK.search(w):
-                    k = int(states[m.start()])
-                    counts[k] = counts.get(k, 0) + sum(1 for ch in w if CJK.match(ch))
-                elif not re.search(r"[a-z][A-Z]", w):
-                    k = int(states[(m.start() + m.end()) // 2])
-                    counts[k] = counts.get(k, 0) + 1
-        found = {}
-        for k, c in counts.items():
-            if k and c >= (MIN_CHINESE if LANGS[k - 1] == "zh" else MIN_WORDS):
-                found[LANGS[k - 1]] = (c, int(chars[k]))
-        out.append(found)
+        for m in re.finditer(r"(?<![\w./\\@:#$-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w/\\@(\[=])", blanked(body)):
+            w = m[0]
+            if CJK.search(w):
+                for i, ch in enumerate(w, m.start()):
+                    if CJK.match(ch):
+                        counts[int(states[i])] = counts.get(int(states[i]), 0) + 1
+            elif not re.search(r"[a-z][A-Z]", w):
+                k = int(states[(m.start() + m.end()) // 2])
+                counts[k] = counts.get(k, 0) + 1
+        chars = np.bincount(states, minlength=table.shape[0])
+        out.append({LANGS[k - 1]: (c, int(chars[k])) for k, c in counts.items() if k and c >= (MIN_CHINESE if LANGS[k - 1] == "zh" else MIN_WORDS)})
     return out
 
 
@@ -202,26 +204,25 @@ def _scan(rows: Iterable[tuple], model) -> Iterable[tuple]:
     pending: list[tuple] = []
 
     def flush():
-        bodies = [b for *_, ps in pending for b in ps]
-        found = iter(prose_of(table, bodies))
-        for file_id, language, content, ps in pending:
+        found = iter(prose_of(table, [p for *_, ps in pending for p in ps]))
+        for file_id, language, content, jsx, ps in pending:
             total: dict[str, list[int]] = {}
             for _ in ps:
                 for lang, (_, chars) in next(found).items():
                     t = total.setdefault(lang, [0, 0])
                     t[0] += 1
                     t[1] += chars
-            if total and syntax_error(language, content) is None:
+            if total and syntax_error(language, content, jsx) is None:
                 for lang, (n, chars) in total.items():
                     yield file_id, language, lang, n, chars, chars / len(content)
         pending.clear()
 
     size = 0
-    for file_id, language, content in rows:
-        ps = [b for _, _, b in passages(language, content)]
+    for file_id, language, content, jsx in rows:
+        ps = [(s, b) for _, s, b in passages(language, content)]
         if ps:
-            pending.append((file_id, language, content, ps))
-            size += sum(map(len, ps))
+            pending.append((file_id, language, content, jsx, ps))
+            size += sum(len(s) for s, _ in ps)
         if size > 400_000:
             yield from flush()
             size = 0

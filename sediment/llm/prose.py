@@ -20,34 +20,49 @@ _URL = re.compile(r"\b[a-z][a-z0-9+.-]*://\S+|\bwww\.\S+|\bdata:\S+|\S{60,}")
 _ESCAPE = re.compile(r"\\(?:[nrt0abfv'\"\\]|x[\da-fA-F]{2}|u\{?[\da-fA-F]{4,6}\}?)|%[-+0 #]*\d*(?:\.\d+)?[a-zA-Z]|\$?\{[^{}]*\}")
 
 
-def prose_lines(text: str) -> list[str]:
-    """The lines of a passage that are prose: without tag lines, parameter sections and code."""
+def _kept(lines: list[str]) -> list[bool]:
+    """Which lines of a passage are prose: no tag lines, parameter sections or code."""
     out, skip = [], False
-    for line in text.splitlines():
+    for line in lines:
         if not line.strip():
             skip = False
-            out.append("")
+            out.append(True)
             continue
         if _SECTION.match(line):
             skip = True
+            out.append(False)
             continue
         if _TAG.match(line):
             skip = False
+            out.append(False)
             continue
         if skip and (line[:1] in " \t" or re.match(r"\s*[-*]?\s*\w+\s*(?:\([^)]*\))?\s*:", line)):
+            out.append(False)
             continue
         skip = False
-        if _CODE.search(line):
-            continue
-        out.append(line)
+        out.append(not _CODE.search(line))
     return out
 
 
+def prose_lines(text: str) -> list[str]:
+    lines = text.splitlines()
+    return [line for line, k in zip(lines, _kept(lines)) if k]
+
+
 def strip_noise(text: str) -> str:
     """Without SQL statements, URLs, encoded runs, escapes and format fields."""
     return _ESCAPE.sub(" ", _URL.sub(" ", _SQL.sub(" ", text)))
 
 
+def blanked(text: str) -> str:
+    """The text with everything that is no prose replaced by blanks, character by character."""
+    lines = text.splitlines(keepends=True)
+    text = "".join(line if k else " " * len(line) for line, k in zip(lines, _kept([line.rstrip("\r\n") for line in lines])))
+    for noise in (_SQL, _URL, _ESCAPE):
+        text = noise.sub(lambda m: " " * len(m[0]), text)
+    return text
+
+
 def words(text: str) -> list[str]:
     """The words of a text that are not identifiers."""
     return [w for w in _WORD.findall(text) if not _MIXED.search(w)]

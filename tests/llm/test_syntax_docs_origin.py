@@ -132,3 +132,13 @@ def test_p3_literals_without_digits():
     assert len(short) < 900 < len(long)
     assert [p3_origin.origin("Python", "a.py", x) for x in (words, short, long)] == ["data"] * 3
     assert p3_origin.origin("Python", "a.py", 'NAME = "x"\n') is None and p3_origin.origin("Python", "a.py", 'def f(a):\n    return g(a, "some text", "more text")\n' * 20) is None
+
+
+def test_jsx_elements():
+    whole = 'const A = () => <div className="a" {...p} b={x ? <i/> : null}>hi {name} {/* c */}\n<b>t</b><></></div>;\n'
+    assert lexers.first_error("JavaScript", whole, True) is None and lexers.first_error("JavaScript", whole) == (1, "<")
+    typed = "export default function X<T>(p: P<T>) { return (\n  <Foo.Bar on={() => { f(1); }}>\n {list.map(x => <li key={x}>{x}</li>)}\n it's text & more\n </Foo.Bar>\n ); }\nconst f = <T,>(x: T) => x;"
+    assert lexers.first_error("TypeScript", typed, True) is None
+    for bad, line in (("const A = <div>hi</span>;", 1), ("const A = <div>hi;\n", 1), ("const A = () => <div>\n{a b}</div>;", 2), ("const B = <div x=3></div>", 1), ("const A = <div>{f(}</div>;", 1), ("\nconst A = <div>\n{x}\n</div>;\nlet = ;;; )", 5)):
+        assert lexers.first_error("JavaScript", bad, True)[0] == line, bad
+    assert lexers.first_error("JavaScript", "if (a < b && c > d) { x = a<b; }", True) is None

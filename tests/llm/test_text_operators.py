@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sediment.llm import p4_prose, p5_near, p6_secrets, p7_encode, p8_leaks, p9_spans
 
@@ -14,7 +15,8 @@ CONTENTS = "file_id bigint, repo string, path string, content string"
 
 
 def test_p4(spark):
-    docs = spark.createDataFrame([(lang, "readme", " ".join([text] * 5)) for lang, text in (("en", EN), ("de", DE), ("fr", FR), ("es", "El cargador guarda cada petición pendiente hasta que venza el plazo de la cola."), ("zh", "加载器会保留每个等待中的请求直到租约到期为止。"))] * 30 + [(None, "readme", None)], "lang string, kind string, text string")
+    labelled = [(lang, "readme", " ".join([text] * 5)) for lang, text in (("en", EN), ("de", DE), ("fr", FR), ("es", "El cargador guarda cada petición pendiente hasta que venza el plazo de la cola."), ("zh", "加载器会保留每个等待中的请求直到租约到期为止。"))] * 30 + [(None, "readme", None)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(labelled)], "doc_id bigint, lang string, kind string, text string")
     py = f'"""{DE}"""\nx = "SELECT a, b FROM c WHERE d > 1 ORDER BY e"\n# {EN[:40]}\n# {EN[40:]}\nlog("{FR[:30]}"\n    "{FR[30:]}")\n'
     code = "# if (route_token == 1 and mixer > 865):\n#     frame_cursor.split(\"ok\", filter_mapper)\nx = 1\n"
     contents = spark.createDataFrame([(1, "r", "a.py", py), (2, "r", "b.py", code * 30), (3, "r", "c.py", f"# {EN}\nx = ("), (4, "r", "d.py", None), (5, "r", "e.js", "// 加载器会保留每个等待中的请求直到租约到期为止。\nf()\n")] * 2, CONTENTS)
@@ -22,6 +24,8 @@ def test_p4(spark):
     got = {(r["file_id"], r["lang"]): r for r in p4_prose.prose(contents, files, docs).collect()}
     assert set(got) == {(1, "de"), (1, "en"), (1, "fr"), (5, "zh")}
     assert 0 < got[1, "de"]["share"] < 1 and got[1, "de"]["n_passages"] == 1
+    assert (p4_prose.train(contents, docs) == p4_prose.train(contents.orderBy("content"), docs.orderBy(F.desc("doc_id")))).all()
+    assert p4_prose.prose(contents.limit(0), files, docs.limit(0)).count() == 0
 
 
 def test_prose_around_sql_and_capitals():
@@ -55,7 +59,8 @@ def test_viterbi_is_optimal():
         v = [table[k, ids[0]] - p4_prose.SWITCH * (k != 0) for k in range(9)]
         for i in ids[1:]:
             v = [max(v[k], max(v) - p4_prose.SWITCH) + table[k, i] for k in range(9)]
-        score = table[path[0], ids[0]] - p4_prose.SWITCH * (path[0] != 0) + sum(table[path[t], ids[t]] - p4_prose.SWITCH * (path[t] != path[t - 1]) for t in range(1, len(ids)))
+        v = [x - p4_prose.SWITCH * (k != 0) for k, x in enumerate(v)]
+        score = table[path[0], ids[0]] - p4_prose.SWITCH * (path[0] != 0) + sum(table[path[t], ids[t]] - p4_prose.SWITCH * (path[t] != path[t - 1]) for t in range(1, len(ids))) - p4_prose.SWITCH * (path[-1] != 0)
         assert abs(score - max(v)) < 1e-2
 
 
