@@ -12,11 +12,14 @@ only the first and the last give anchors; equal stretches have equal anchors, so
 Anchors whose name occurs in more than one document come with the text to their left and right, and each pair of them is
 verified character by character.
 Names with more than HOT occurrences are split first: an occurrence is filed under the texts of STEP * k characters to its
-left and LENGTH - STEP * (k + 1) to its right, for all k, of which any true pair has one in common.
+left and LENGTH - STEP * (k + 1) to its right, for all k, of which any true pair has one in common.  A passage in very many
+different documents has all of them under one such text, and all their pairs are results; the occurrences of a name with more
+than SPLIT are therefore spread over groups, and each pair of groups is a key of its own, so that no task has to pair more
+than about 2 * SPLIT occurrences.
 
 Equal texts form classes, and only the document with the least id of a class is paired; ``found`` expands classes to pairs
-of documents.  A class of more than EXPAND documents is not expanded: its members are paired with its representative, which
-stands for it in other pairs, and ``members`` names them all.
+of documents.  A class of more than ``expand`` documents is not expanded: its members are paired with its representative, which
+stands for it in other pairs, and ``members`` names them all; expand=None expands every class.
 
 Defined results: null texts and texts below LENGTH share nothing; a document is not compared with itself; repeated rows count
 once; equal texts of at least LENGTH characters share everything.
@@ -37,6 +40,7 @@ COVER = 110
 BLOCK = 500_000
 HOT = 24
 STEP = 50
+SPLIT = 1000
 EXPAND = 256
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -139,8 +143,12 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "name bigint, doc_id bigint, place int")
 
 
-def filed(rows: DataFrame, length: int) -> DataFrame:
-    """file, doc_id, place, left, right: occurrences with their surroundings, hot names split."""
+def filed(rows: DataFrame, length: int, split: int = SPLIT) -> DataFrame:
+    """file, part, doc_id, place, left, right: occurrences with their surroundings, hot names split; two of one part do not meet."""
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["file", "part", "doc_id", "place", "left", "right"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -154,19 +162,24 @@ def filed(rows: DataFrame, length: int) -> DataFrame:
                         if len(left) + len(right) < length:
                             continue
                         if m["n"] <= HOT:
-                            out.append((m["name"], doc, p, left, right))
+                            out.append((m["name"], None, doc, p, left, right))
                             continue
+                        parts = -(-m["n"] // split)
+                        own = xxhash.xxh3_64_intdigest(f"{doc} {p}") % parts
                         for k in range(length // STEP):
                             ll, rr = STEP * k, length - STEP * (k + 1)
                             if len(left) >= ll and len(right) >= rr:
                                 h = xxhash.xxh3_64_intdigest(f"{m['name']}\0{k}\0" + left[len(left) - ll :] + "\0" + right[:rr])
-                                out.append((h - (1 << 63), doc, p, left, right))
+                                for other in range(parts):
+                                    key = xxhash.xxh3_64_intdigest(f"{h} {min(own, other)} {max(own, other)}")
+                                    out.append((key - (1 << 63), None if own == other else own, doc, p, left, right))
+                                    if len(out) >= 1000:
+                                        yield batch(out)
+                                        out = []
                 if out:
-                    cols = list(zip(*out))
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "doc_id", "place", "left", "right"])
+                    yield batch(out)
 
-    return rows.mapInArrow(run, "file bigint, doc_id bigint, place int, left string, right string")
+    return rows.mapInArrow(run, "file bigint, part int, doc_id bigint, place int, left string, right string")
 
 
 def long_texts(documents: DataFrame, length: int) -> DataFrame:
@@ -180,7 +193,7 @@ def members(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return keyed.join(sizes, "key").select("doc_id", "class_id", "copies")
 
 
-def shared_spans(documents: DataFrame, length: int = LENGTH, same: DataFrame | None = None) -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = LENGTH, same: DataFrame | None = None, split: int = SPLIT) -> DataFrame:
     """a, b, a_start, b_start, n_chars: verified stretches of at least ``length`` equal characters of representatives a < b (within ``length`` around an anchor)."""
     docs = long_texts(documents, length)
     same = members(documents, length) if same is None else same
@@ -189,9 +202,9 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, same: DataFrame | N
     shared = marks.groupBy("name").agg(F.count("place").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name", "n")
     wanted = marks.join(shared, "name").groupBy("doc_id").agg(F.collect_set(F.struct("name", "place", "n")).alias("marks"))
     wanted = wanted.join(same.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti")
-    rows = filed(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"), length)
-    side = lambda s: rows.select("file", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "place", "left", "right")])
-    pairs = side("a").join(side("b"), "file").where("doc_id_a < doc_id_b").drop("file")
+    rows = filed(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "marks"), length, split)
+    side = lambda s: rows.select("file", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "doc_id", "place", "left", "right")])
+    pairs = side("a").join(side("b"), "file").where("doc_id_a < doc_id_b AND coalesce(part_a <> part_b, true)").drop("file", "part_a", "part_b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -207,15 +220,16 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, same: DataFrame | N
     return pairs.mapInArrow(run, "a bigint, b bigint, a_start int, b_start int, n_chars int")
 
 
-def found(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def found(documents: DataFrame, length: int = LENGTH, expand: int | None = EXPAND, split: int = SPLIT) -> DataFrame:
     """doc_id_a < doc_id_b: the texts have a common substring of at least ``length`` characters."""
     same = members(documents, length)
-    pairs = shared_spans(documents, length, same).select("a", "b").distinct()
-    many = same.where((F.col("copies") <= EXPAND) | (F.col("doc_id") == F.col("class_id"))).groupBy("class_id").agg(F.collect_list("doc_id").alias("ids"))
-    side = lambda name: many.select(F.col("class_id").alias(name), F.col("ids").alias(f"{name}_ids"))
-    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.explode(F.coalesce("a_ids", F.array("a"))).alias("x"), F.coalesce("b_ids", F.array("b")).alias("ys")).select("x", F.explode("ys").alias("y"))
-    copies = many.select(F.explode("ids").alias("x"), F.col("ids").alias("ys")).select("x", F.explode("ys").alias("y")).where("x < y")
-    star = same.where(f"copies > {EXPAND} AND doc_id <> class_id")
+    pairs = shared_spans(documents, length, same, split).select("a", "b").distinct()
+    starred = F.col("copies") > (expand if expand is not None else 1 << 62)
+    many = same.where(~starred | (F.col("doc_id") == F.col("class_id"))).select("class_id", "doc_id")
+    side = lambda name: many.select(F.col("class_id").alias(name), F.col("doc_id").alias(f"{name}_id"))
+    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"))
+    copies = many.select("class_id", F.col("doc_id").alias("x")).join(many.select("class_id", F.col("doc_id").alias("y")), "class_id").where("x < y").select("x", "y")
+    star = same.where(starred & (F.col("doc_id") != F.col("class_id")))
     every = wide.unionByName(copies).unionByName(star.select(F.col("class_id").alias("x"), F.col("doc_id").alias("y")))
     return every.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 

@@ -344,10 +344,23 @@ def test_p9_hot_names(spark, monkeypatch):
     assert {tuple(r) for r in p9_spans.found(df).collect()} == {(a, b) for a in range(0, 10, 2) for b in range(a + 2, 10, 2)}
 
 
-def test_p9_large_class(spark, monkeypatch):
-    monkeypatch.setattr(p9_spans, "EXPAND", 3)
+def test_p9_large_class(spark):
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefghij klmno") for _ in range(600))
     df = spark.createDataFrame([(i, text) for i in range(6)] + [(9, "new " + text)], "doc_id bigint, text string")
-    assert {tuple(r) for r in p9_spans.found(df).collect()} == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
+    assert {tuple(r) for r in p9_spans.found(df, expand=3).collect()} == {(0, i) for i in (1, 2, 3, 4, 5, 9)}
     assert {(r["doc_id"], r["n_shared"], r["n_partners"]) for r in p9_spans.shares(df).where("doc_id > 4").collect()} == {(5, 600, 6), (9, 600, 6)}
+
+
+def test_p9_passage_in_many_documents(spark):
+    """A passage in many different documents: all pairs, and no key of the join holds many more rows than the split allows."""
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop qrstuvw.\n") for _ in range(n))
+    passage, n, split = text(500), 300, 40
+    df = spark.createDataFrame([(i, text(rng.randint(0, 200)) + passage + text(rng.randint(0, 200))) for i in range(n)] + [(n + i, text(600)) for i in range(5)], "doc_id bigint, text string")
+    assert p9_spans.found(df, split=split).count() == n * (n - 1) // 2
+    assert p9_spans.found(df).count() == n * (n - 1) // 2
+    marks = p9_spans.occurrences(df, 400).groupBy("name").agg(F.count("*").alias("n"), F.collect_list(F.struct("doc_id", "place")).alias("at")).where("n > 1")
+    rows = marks.select("name", "n", F.explode("at").alias("at")).groupBy("at.doc_id").agg(F.collect_list(F.struct("name", "at.place", "n")).alias("marks")).join(df, "doc_id").select("doc_id", "text", "marks")
+    biggest = p9_spans.filed(rows, 400, split).groupBy("file").count().agg(F.max("count")).first()[0]
+    assert biggest <= 4 * split
