@@ -2,9 +2,10 @@
 
 The lexicon is a minimal acyclic automaton of byte strings with shared suffixes.  Each transition knows how many words
 come before those behind it, so the walk over a word gives its number and the number gives its ids.  It is compiled once,
-written as arrays of fixed layout, sent with the job's files and memory-mapped by the workers.  Words are the pieces of the
-tokenizer's own pattern; a piece that the automaton lacks is merged exactly by the ranks.  Which words are compiled changes
-speed only: those of the vocabulary itself, which were frequent when it was made, and any more that are given.
+written as arrays of fixed layout, sent with the job's files and memory-mapped by the workers.  Its words are the corpus's
+FREQUENT most frequent pieces (counted over all texts), each with the ids that exact merging gives it, and the vocabulary's
+own entries.  Texts are cut into pieces by the tokenizer's own pattern, and all pieces of a batch walk the automaton in step; a
+piece that it lacks is merged exactly by the ranks.  Which words are compiled changes speed only.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are plain text; repeated
 rows give repeated results; texts of any length are read whole.
@@ -17,17 +18,21 @@ import io
 import os
 import re
 import uuid
-from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch
 
+#: Most frequent pieces that are compiled; they and their counts are all that comes to the driver.
+FREQUENT = 50_000
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts into pieces for this vocabulary.
@@ -192,36 +197,67 @@ class Lexicon:
         bad |= ~self.final[state]
         return np.where(bad, -1, number)
 
-    def ids_of(self, number: int) -> tuple[int, ...]:
-        return tuple(self.ids[self.offsets[number] : self.offsets[number + 1]].tolist())
-
 
 class Encoder:
-    """Pieces to ids, with a memory of pieces seen by this worker."""
+    """Pieces to ids: by the lexicon, and by exact merging for those it lacks, which this worker remembers."""
 
     LIMIT = 500_000
 
     def __init__(self, lexicon: Lexicon, ranks: dict[bytes, int]):
         self.lexicon, self.ranks = lexicon, ranks
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.merged: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts."""
         cut = [pieces(t) if t else [] for t in texts]
-        if len(self.seen) > self.LIMIT:
-            self.seen.clear()
-        seen = self.seen
-        new = [p for p in {p for ps in cut for p in ps} if p not in seen]
-        if new:
-            raw = [p.encode("utf-8", "replace") for p in new]
-            for p, w, k in zip(new, raw, self.lexicon.find(raw).tolist()):
-                seen[p] = self.lexicon.ids_of(k) if k >= 0 else tuple(merge(w, self.ranks))
-        out, offsets = array("i"), [0]
-        for ps in cut:
-            for p in ps:
-                out.extend(seen[p])
-            offsets.append(len(out))
-        return np.asarray(offsets, np.int32), np.frombuffer(out, np.int32) if len(out) else np.empty(0, np.int32)
+        index = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        if not index:
+            return np.zeros(len(texts) + 1, np.int32), np.empty(0, np.int32)
+        raw = [p.encode("utf-8", "replace") for p in index]
+        number = self.lexicon.find(raw)
+        known = np.maximum(number, 0)
+        start = self.lexicon.offsets[known].astype(np.int64)
+        size = self.lexicon.offsets[known + 1] - start
+        if len(self.merged) > self.LIMIT:
+            self.merged.clear()
+        more, at, names = [], len(self.lexicon.ids), list(index)
+        for i in np.flatnonzero(number < 0).tolist():
+            ids = self.merged.get(names[i])
+            if ids is None:
+                ids = self.merged[names[i]] = merge(raw[i], self.ranks)
+            start[i], size[i] = at + len(more), len(ids)
+            more += ids
+        ids = np.concatenate([self.lexicon.ids, np.asarray(more, np.int32)])
+        seen = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        n = size[seen]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(start[seen] - ends + n, n) + np.arange(ends[-1])]
+        pieces_before = np.cumsum([0, *map(len, cut)])
+        return np.append(0, ends)[pieces_before].astype(np.int32), out
+
+
+def frequent(documents: DataFrame, text: str, most: int = FREQUENT) -> list[str]:
+    """The pieces that occur most often in all texts, and at least twice; each task counts its own first."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([p.encode("utf-8", "replace") for p in count], pa.binary()), pa.array(list(count.values()), pa.int64())], names=["piece", "n"])
+            count.clear()
+            return batch
+
+        for b in it:
+            for t in b.column(0).to_pylist():
+                if t:
+                    count.update(pieces(t))
+            if len(count) > 500_000:
+                yield counted()
+        if count:
+            yield counted()
+
+    counts = documents.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    return [bytes(r[0]).decode("utf-8") for r in counts.orderBy(F.desc("n"), "piece").limit(most).collect()]
 
 
 def own_words(ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
@@ -249,14 +285,13 @@ def published(spark: SparkSession, data: bytes, stem: str) -> str:
     return name
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, more: Iterable[str] = ()) -> DataFrame:
+def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, most: int = FREQUENT) -> DataFrame:
     """key, ids of each row."""
     spark = documents.sparkSession
     ranks = ranks_of(os.path.join(tokenizers, vocabulary))
     words = own_words(ranks)
-    for piece in more:
-        for p in pieces(piece):
-            words.setdefault(p.encode("utf-8"), merge(p.encode("utf-8"), ranks))
+    for p in frequent(documents, text, most):
+        words.setdefault(p.encode("utf-8"), merge(p.encode("utf-8"), ranks))
     name = published(spark, Lexicon.dump(Lexicon.build(words)), "lexicon")
     shared = spark.sparkContext.broadcast(ranks)
     kind = documents.schema[key].dataType.simpleString()

@@ -200,9 +200,14 @@ def test_p7(spark):
     other = tiktoken.Encoding("own", pat_str=p7_encode.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["Hello world, it's 2024!", "", None, "<|endoftext|> plain", "a\x1cb \x85c", "héé 日本語 😀 ½Ⅷ", "x" * 3000 + "é" * 500, "  \r\n\t y  ", "ab" * 700]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
-    got = {r["doc_id"]: r["ids"] for r in p7_encode.encoded(df, more=["Hello world"]).collect()}
-    assert got == {i: other.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    texts += ["retryable zxqv widgets"] * 3
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
+    want = {i: other.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    for most in (0, 3, 50_000):
+        assert {r["doc_id"]: r["ids"] for r in p7_encode.encoded(df, most=most).collect()} == want
     assert p7_encode.encoded(df.limit(0)).count() == 0
+    words = p7_encode.frequent(df, "text")
+    assert " zxqv" in words and " world" not in words and len(other.encode_ordinary(" zxqv")) > 1
 
 
 def test_p7_lexicon_shares_suffixes():
@@ -210,7 +215,7 @@ def test_p7_lexicon_shares_suffixes():
     arrays = p7_encode.Lexicon.build(words)
     lex = p7_encode.Lexicon(arrays)
     found = lex.find([*words, b"", b"t", b"tapsx"])
-    assert [lex.ids_of(k) for k in found[:5]] == [(i,) for i in range(5)] and list(found[5:]) == [-1, -1, -1]
+    assert [lex.ids[lex.offsets[k] : lex.offsets[k + 1]].tolist() for k in found[:5]] == [[i] for i in range(5)] and list(found[5:]) == [-1, -1, -1]
     assert len(arrays["final"]) == 5
 
 
