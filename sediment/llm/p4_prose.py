@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_files, confirmed, over
+from .common import code_files, confirmed, language_of, over
 from .p1_syntax import syntax_error
 from .prose import CJK, blanked, prose_lines, strip_noise
 
@@ -130,8 +130,10 @@ def train(contents: DataFrame, documents: DataFrame) -> np.ndarray:
     least = Window.partitionBy("name").orderBy("h", "doc_id")
     names = dict(labelled.where(F.col("name").isin(*LANGS)).withColumn("k", F.row_number().over(least)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "name").collect())
     texts = documents.where(F.col("doc_id").isin(*names) & F.col("text").isNotNull()).select("doc_id", "text").collect() if names else []
-    code = code_files(contents).where("length(content) > 200").select("language", "content").orderBy(F.xxhash64("file_id"), "content").limit(SAMPLE_FILES).collect()
-    samples: dict[str, list[str]] = {"code": [_SPANS[language].sub("\n", text) for language, text in code]}
+    paths = contents.where(language_of(F.col("path")).isNotNull() & F.col("file_id").isNotNull()).select("file_id")
+    files = [r[0] for r in paths.orderBy(F.xxhash64("file_id"), "file_id").limit(SAMPLE_FILES).collect()]
+    code = code_files(contents).where(F.col("file_id").isin(files)).select("file_id", "language", "content").distinct().collect() if files else []
+    samples: dict[str, list[str]] = {"code": [_SPANS[language].sub("\n", text) for _, language, text in sorted(code)]}
     for doc, text in sorted(texts):
         samples.setdefault(names[doc], []).append(strip_noise("\n".join(prose_lines(text))))
     return emissions(samples)
