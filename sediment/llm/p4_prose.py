@@ -34,7 +34,7 @@ LANGS = ("en", "de", "fr", "es", "pt", "pl", "ru", "zh")
 SAMPLE_ROWS = 400
 SAMPLE_FILES = 300
 BUCKETS = 1 << 15
-SWITCH = 20.0
+SWITCH = 10.0
 MIN_WORDS = 6
 MIN_CHINESE = 12
 

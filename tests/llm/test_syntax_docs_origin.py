@@ -130,10 +130,25 @@ def test_p3_literals_without_digits():
     short = "COUNTRIES = [\n" + "".join(f'    "{c}",\n' for c in ("Austria", "Belgium", "Croatia", "Denmark", "Estonia", "Finland", "Greece", "Hungary", "Iceland", "Ireland", "Italy", "Latvia", "Malta", "Norway", "Poland")) + "]\n"
     long = words.replace("]\n", "") + "".join(f'    "{a}{b}{c}",\n' for a in "qwerty" for b in ("stone", "field") for c in ("wood", "dale", "ford")) + "]\n"
     assert len(short) < 900 < len(long)
-    assert [p3_origin.origin("Python", "a.py", x) for x in (words, short, long)] == ["data"] * 3
+    assert [p3_origin.origin("Python", "a.py", x) for x in (words, short, long)] == [("data", "layout")] * 3
     assert p3_origin.origin("Python", "a.py", 'NAME = "x"\n') is None and p3_origin.origin("Python", "a.py", 'def f(a):\n    return g(a, "some text", "more text")\n' * 20) is None
 
 
+@pytest.mark.parametrize("language", sorted(p3_origin.BOUNDS))
+def test_p3_by_layout_alone(language):
+    """What is minified, data or a compiled descriptor is found in every language without its path and comments; ordinary code is not."""
+    sign = "#" if language == "Python" else "//"
+    packed = "a=[" + ",".join(f"f{i}(b{i},c)" for i in range(400)) + "]\n"
+    numbers = "t = [\n" + "".join(f"    {i * 7919 % 65521}, 0x{i:04x}, {i}.5,\n" for i in range(80)) + "]\n"
+    words = "t = {\n" + "".join(f'    "name{i}": "some value {i}",\n' for i in range(80)) + "}\n"
+    solid = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[i * i % 64] for i in range(900))
+    code = "".join(f"    total{i} = merge(total{i - 1}, rows[{i}]);\n    if (total{i} > limit) {{ flush(total{i}, \"done\"); }}\n" for i in range(1, 60))
+    kind = lambda text: p3_origin.by_layout(language, text)
+    assert (kind(packed), kind(numbers), kind(words), kind(code + f'd = "{solid}"\n')) == ("minified", "data", "data", "generated")
+    assert kind(code) is None and kind(f"{sign} Code generated by x. DO NOT EDIT.\n{code}") is None and kind(code + 'u = "https://a.example/' + "b/" * 500 + '"\n') is None and kind("") is None
+    assert p3_origin.origin(language, "vendor/a/b.x", code) == ("vendored", "path") and p3_origin.origin(language, "a.x", f"{sign} Code generated by x. DO NOT EDIT.\n{code}") == ("generated", "statement")
+
+
 def test_jsx_elements():
     whole = 'const A = () => <div className="a" {...p} b={x ? <i/> : null}>hi {name} {/* c */}\n<b>t</b><></></div>;\n'
     assert lexers.first_error("JavaScript", whole, True) is None and lexers.first_error("JavaScript", whole) == (1, "<")
