@@ -6,6 +6,10 @@ alphabets of the issuer, decodable basic-auth values, bodies of private keys) an
 of fields, digests and revision ids look like.  Values are masked with placeholders of the same length and alphabet, so
 the code around them stays as it is.
 
+Where the format has a checksum or an inner structure (the CRC-32 at the end of tokens of two issuers, the header of a signed
+web token, the encoded frame of a private key), ``checked`` says whether it holds.  It is a grade, not a condition: older tokens of
+the same issuers have no checksum, and a token with one mistyped character is still to be masked.
+
 Defined results: null content gives no finding and stays null; repeated rows give one result; overlapping findings count
 once, from the first; texts of any length are read whole.
 """
@@ -14,13 +18,17 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 import re
+import zlib
 from bisect import bisect_left as bisect
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import over
 
@@ -59,11 +67,7 @@ _DIGEST = re.compile(r"^(?:(?:sha|md5|sha\d+|blake\w*)[-:$]|data:|ssh-(?:rsa|ed2
 
 
 @cache
-def _automaton():
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
+def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for k in KEYWORDS:
         a.add_word(k, len(k))
@@ -76,10 +80,8 @@ def candidate_lines(text: str) -> Iterator[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    a = _automaton()
-    hits = (e for e, _ in a.iter(low)) if a else (m.start() for m in re.finditer("|".join(map(re.escape, KEYWORDS)), low))
     end = -1
-    for at in hits:
+    for at, _ in _automaton().iter(low):
         if at <= end:
             continue
         start = low.rfind("\n", 0, at) + 1
@@ -121,6 +123,47 @@ def basic(value: str) -> bool:
     return bool(colon and password and text.isprintable()) and not _PLACEHOLDER.search(password)
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def crc_holds(token: str) -> bool:
+    """Whether the last six digits (base 62) of what stands behind the prefix are the CRC-32 of the digits before them."""
+    body = token.partition("_")[2]
+    n, digits = zlib.crc32(body[:-6].encode()), ""
+    while n:
+        n, d = divmod(n, 62)
+        digits = _BASE62[d] + digits
+    return len(body) > 6 and body[-6:] == digits.rjust(6, "0")
+
+
+def _decoded(value: str) -> bytes:
+    plain = value.translate({45: 43, 95: 47}).rstrip("=")
+    try:
+        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def checked(kind: str, value: str) -> bool | None:
+    """Whether checksum or inner structure of a credential hold; None for formats without either."""
+    if kind == "basic":
+        return True
+    if kind == "private_key":
+        body = re.sub(r"-----[^-]*-----|\\[nr]|[^A-Za-z0-9+/]", "", value)
+        return _decoded(body).startswith((b"\x30", b"openssh-key-v1\0"))
+    if kind != "issuer":
+        return None
+    value = "".join(re.findall(r"[\w.=-]+", value))
+    if re.match(r"gh[pousr]_[A-Za-z0-9]{36}$|npm_", value):
+        return crc_holds(value)
+    if value.startswith("eyJ"):
+        try:
+            return "alg" in json.loads(_decoded(value.partition(".")[0]))
+        except (ValueError, TypeError):
+            return False
+    return None
+
+
 class Joined:
     """Literals joined from parts, of one text; a line inside such a literal continues the parts that are known, so long lists are read once."""
 
@@ -241,18 +284,25 @@ def _scan(rows: Iterable[tuple]) -> Iterable[tuple]:
     for file_id, path, content in rows:
         if content and file_id is not None:
             for a, b, kind in find(content, bool(_CONFIG.search(path or ""))):
-                yield file_id, content.count("\n", 0, a) + 1, kind, b - a
+                yield file_id, content.count("\n", 0, a) + 1, kind, b - a, checked(kind, content[a:b])
 
 
 def credentials(contents: DataFrame) -> DataFrame:
-    """file_id, line_no, kind and length of each credential."""
+    """file_id, line_no, kind, length of each credential, and whether its checksum or structure holds."""
     rows = contents.select("file_id", "path", "content").where("content IS NOT NULL")
-    found = over(rows, _scan, "file_id bigint, line_no bigint, kind string, length int", ["file_id", "line_no", "kind", "length"], [pa.int64(), pa.int64(), pa.string(), pa.int32()])
+    found = over(rows, _scan, "file_id bigint, line_no bigint, kind string, length int, checked boolean", ["file_id", "line_no", "kind", "length", "checked"], [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()])
     return found.distinct()
 
 
+#: Keys up to which those delivered more than once are broadcast, 8 bytes each.
+FEW = 1_000_000
+
+
 def redacted(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """key, text with credentials masked and the number of them, for every row; null texts stay null."""
+    """key, text with credentials masked and the number of them, one row for each key; null texts stay null.
+
+    Only rows whose key was delivered more than once are moved; rows without a key come out as one.
+    """
 
     def run(rows: Iterable[tuple]) -> Iterable[tuple]:
         for k, p, t in rows:
@@ -262,4 +312,10 @@ def redacted(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
 
     kind = dict(df.dtypes)[key]
     types = [pa.int64() if kind == "bigint" else pa.string(), pa.string(), pa.int32()]
-    return over(df.select(key, path, text), run, f"{key} {kind}, {text} string, n_masked int", [key, text, "n_masked"], types, rows=500)
+    rows = df.select(key, path, text)
+    again = df.groupBy(key).count().where(f"count > 1 AND {key} IS NOT NULL").select(key)
+    if again.count() <= FEW:
+        again = F.broadcast(again)
+    once = rows.join(again, key, "left_anti").where(F.col(key).isNotNull())
+    more = rows.join(again, key, "left_semi").unionByName(rows.where(F.col(key).isNull())).dropDuplicates([key])
+    return over(once.unionByName(more), run, f"{key} {kind}, {text} string, n_masked int", [key, text, "n_masked"], types, rows=500)

@@ -27,8 +27,9 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: p5_near.found(t(s, d, "chunks")),
         "p5_classes": lambda s, d: p5_near.classes(t(s, d, "chunks")),
         "p6_found": lambda s, d: p6_secrets.credentials(t(s, d, "contents")).select("file_id", "line_no").distinct(),
-        "p6_redacted": lambda s, d: p6_secrets.redacted(t(s, d, "contents"), "file_id", "path", "content").dropDuplicates(["file_id"]),
-        "p6_chunks": lambda s, d: p6_secrets.redacted(t(s, d, "chunks"), "chunk_no", "file_path", "content").dropDuplicates(["chunk_no"]),
+        "p6_credentials": lambda s, d: p6_secrets.credentials(t(s, d, "contents")),
+        "p6_redacted": lambda s, d: p6_secrets.redacted(t(s, d, "contents"), "file_id", "path", "content"),
+        "p6_chunks": lambda s, d: p6_secrets.redacted(t(s, d, "chunks"), "chunk_no", "file_path", "content"),
         "p7_ids": lambda s, d: p7_encode.encoded(t(s, d, "documents")),
         "p8_found": lambda s, d: p8_leaks.exact(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_near": lambda s, d: p8_leaks.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
