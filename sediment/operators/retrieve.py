@@ -60,8 +60,21 @@ def nearest(rows: DataFrame, query: list[float], k: int = 5, condition: Column |
         return rows.withColumn("distance", F.lit(0.0)).limit(0)
     if condition is not None:
         rows = rows.where(condition)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("distance", cosine_distance(F.col(vector), q)).where("distance IS NOT NULL").orderBy("distance", key).limit(k)
+    q = np.asarray(query, np.float64)
+    q = q / np.linalg.norm(q)
+
+    @F.pandas_udf("double")
+    def distance(column: pd.Series) -> pd.Series:
+        out = np.full(len(column), np.nan)
+        live = [i for i, v in enumerate(column) if v is not None and len(v) == len(q)]
+        if live:
+            x = np.stack([column.iloc[i] for i in live]).astype(np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[live] = np.where(norm > 0, 1 - (x @ q) / norm, np.nan)
+        return pd.Series(out)
+
+    return rows.withColumn("distance", distance(F.col(vector))).where("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
 def nearest_of_many(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", same: str | None = None) -> DataFrame:

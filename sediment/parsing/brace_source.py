@@ -20,7 +20,7 @@ BRANCHES = {
     "JavaScript": {"if", "for", "while", "do", "catch", "case", "?", "&&", "||", "??"},
     "Go": {"if", "for", "case", "select", "&&", "||"},
     "Rust": {"if", "while", "for", "loop", "=>", "&&", "||"},
-    "Java": {"if", "for", "while", "do", "catch", "case", "?", "&&", "||"},
+    "Java": {"if", "for", "while", "do", "catch", "case", "default", "?", "&&", "||"},
     "C": {"if", "for", "while", "do", "case", "default", "?", "&&", "||"},
     "C++": {"if", "for", "while", "do", "case", "default", "?", "&&", "||", "catch"},
 }
@@ -71,6 +71,8 @@ class Tokens:
             if t in words:
                 if t == "?" and language in ("TypeScript", "JavaScript") and self.text[i + 1 : i + 2] in ([":"], [","], [")"], ["="]):
                     continue
+                if t == "default" and self.text[i + 1 : i + 2] not in ([":"], ["->"]):
+                    continue
                 if t == "do" and language != "Rust":
                     n += 1
                     continue
@@ -119,8 +121,22 @@ def _fn(name, params, start, end, is_async=False, method=False) -> dict:
     return {"name": name, "params": params, "line_start": start, "line_end": end, "docstring": None, "is_async": is_async, "is_method": method}
 
 
+_HIDDEN = re.compile(r'//[^\n]*|/\*[\s\S]*?\*/|"""[\s\S]*?"""|\br(?P<h>#*)"[\s\S]*?"(?P=h)|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`')
+
+
+def visible(text: str, language: str) -> str:
+    """The text with comments and literals of more than one line blanked; literals of a line stay, because imports are made of them."""
+
+    def blank(m: re.Match) -> str:
+        if m[0][0] in "\"'" and not m[0].startswith('"""') or m[0][0] == "`" and language not in ("JavaScript", "TypeScript") and "\n" not in m[0]:
+            return m[0]
+        return re.sub(r"[^\n]", " ", m[0])
+
+    return _HIDDEN.sub(blank, _RUST_LIFE.sub(lambda m: " " * len(m[0]), text) if language == "Rust" else text)
+
+
 def _imports(text: str, language: str) -> list[dict]:
-    out = []
+    out, text = [], visible(text, language)
     if language in ("JavaScript", "TypeScript"):
         for m in re.finditer(r"^[ \t]*import\s+(?:type\s+)?(?:([\w$*{},\s]+?)\s+from\s+)?[\"']([^\"']+)[\"']", text, re.M):
             names = []

@@ -38,7 +38,8 @@ def with_retries(call: Explainer, attempts: int = 2, wait: float = 1.0, sleep: C
 def explain(rows: DataFrame, cache: DataFrame, explainer: Explainer = template_explainer, pause: float = 0.0) -> DataFrame:
     """rows(repo, path, owner, repo_name, sha, prompt) to repo, path, cache_key, explanation, source (cache or new).
 
-    Only misses are sent; calls are made one after the other in each partition, with a pause between them.
+    Only misses are sent.  With a pause, as limits of a rate need it, all calls of the job are made one after the other in one
+    task, whatever the number of partitions; without one, each partition makes its own.
     """
     known = H.lookup(rows, cache).where("explanation IS NOT NULL").select("repo", "path", "cache_key", "explanation", F.lit("cache").alias("source"))
 
@@ -53,5 +54,6 @@ def explain(rows: DataFrame, cache: DataFrame, explainer: Explainer = template_e
                 out.append(explainer(p))
             yield pdf[["repo", "path", "cache_key"]].assign(explanation=out, source="new")
 
-    new = H.misses(rows, cache).select("repo", "path", "cache_key", "prompt").mapInPandas(run, "repo string, path string, cache_key string, explanation string, source string")
+    asked = H.misses(rows, cache).select("repo", "path", "cache_key", "prompt")
+    new = (asked.repartition(1) if pause else asked).mapInPandas(run, "repo string, path string, cache_key string, explanation string, source string")
     return known.unionByName(new.where("explanation IS NOT NULL AND explanation <> ''"))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..config import Limits
 from ..operators import jobs as J
 from ..operators import manifest as M
+from ..sinks import drop_store
+
+#: Hosts of the code hosting service whose repositories are analysed unless others are named.
+HOSTS = ("github.com",)
 
 
 class Rejected(ValueError):
@@ -27,25 +31,26 @@ class Request:
     max_explanations: int = 20
     options: dict = field(default_factory=dict)
 
-    def validate(self, host: str = "") -> tuple[str, str]:
-        """Owner and name; 422 for what is malformed."""
+    def validate(self, hosts: tuple[str, ...]) -> tuple[str, str]:
+        """Owner and name; 422 for what is malformed or lies on another host."""
         if not 0 <= self.max_explanations <= 100:
             raise Rejected(422, "max_explanations must be between 0 and 100")
         bare = re.sub(r"^https?://", "", self.repo_url.strip().rstrip("/")).removesuffix(".git").split("/")
-        if len(bare) < 3 or host not in bare[0]:
-            raise Rejected(422, "not a repository URL")
+        host = bare[0].rpartition("@")[2].partition(":")[0].lower()
+        if len(bare) < 3 or not (bare[1] and bare[2]) or host.removeprefix("www.") not in hosts:
+            raise Rejected(422, "not a repository URL of " + " or ".join(hosts))
         return bare[1], bare[2]
 
 
 class Service:
-    """Jobs over an append-only table of events."""
+    """Jobs over an append-only table of events; repositories of ``hosts`` are accepted, and ``chunk_store`` holds their chunks."""
 
-    def __init__(self, spark: SparkSession, log: DataFrame, files: DataFrame, limits: Limits | None = None):
-        self.spark, self.log, self.files, self.limits = spark, log, files, limits or Limits()
+    def __init__(self, spark: SparkSession, log: DataFrame, files: DataFrame, limits: Limits | None = None, hosts: tuple[str, ...] = HOSTS, chunk_store: str | None = None):
+        self.spark, self.log, self.files, self.limits, self.hosts, self.chunk_store = spark, log, files, limits or Limits(), hosts, chunk_store
 
     def admit(self, request: Request) -> str:
         """The repository's name; 409 if it has an active job, 400 if it is too large or unknown."""
-        repo = "/".join(request.validate())
+        repo = "/".join(request.validate(self.hosts))
         if not J.active_per_repo(self.log).where(F.col("repo") == repo).isEmpty():
             raise Rejected(409, "a job for this repository is active")
         row = M.analysis_tiers(self.files.where(F.col("repo") == repo), self.limits).first()
@@ -76,9 +81,15 @@ class Service:
         return row.asDict(recursive=True)
 
     def without(self, job_id: str) -> DataFrame:
-        """The log without a job."""
+        """The log without a job; the job's chunk store goes too."""
         self.status(job_id)
+        if self.chunk_store:
+            drop_store(self.spark, f"{self.chunk_store}/{job_id}")
         return self.log.where(F.col("job_id") != job_id)
 
+    def listed(self) -> DataFrame:
+        """All jobs of each repository, the newest first."""
+        return J.listed(self.log)
+
     def health(self) -> dict:
         return {"status": "ok", "active": J.active(self.log).count()}

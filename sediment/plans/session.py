@@ -43,9 +43,7 @@ class Analysis:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        if self.given is not None:
-            return self.given
-        return self.parsed.withColumn("imports", F.transform("imports", lambda i: F.struct(i["module"].alias("module"), i["names"].alias("names"), i["is_from_import"].alias("is_from_import"), F.lit(True).alias("is_internal"))))
+        return self.given if self.given is not None else V.flagged(self.parsed, M.manifest(self.files))
 
     @cached_property
     def imports(self) -> DataFrame:

@@ -348,13 +348,15 @@ def oracle_sql() -> dict[str, str]:
         "first_two_sentences": first(2),
         "make_chunks": None,
     }
-    o["import_internal"] = f"""WITH {imp}, x AS (SELECT file_id, repo, ord, i.module AS m, {lang} AS language FROM im), fs AS (SELECT DISTINCT repo, path FROM files),
-        pf AS (SELECT DISTINCT repo, array_to_string(string_split(path, '/')[:k], '/') AS p FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM fs)),
-        py AS (SELECT DISTINCT x.file_id, x.ord FROM (SELECT file_id, repo, ord, replace(trim(unnest(string_split(m, ','))), '.', '/') AS p FROM x WHERE language = 'Python') x JOIN fs ON fs.repo = x.repo AND (fs.path = x.p || '.py' OR fs.path = x.p || '/__init__.py')),
-        pr AS (SELECT DISTINCT x.file_id, x.ord FROM (SELECT file_id, repo, ord, CASE language WHEN 'Go' THEN string_split(m, '/')[-1] WHEN 'Java' THEN replace(m, '.', '/') END AS p FROM x WHERE language IN ('Go', 'Java')) x JOIN pf ON pf.repo = x.repo AND pf.p = x.p)
-        SELECT x.file_id, x.ord, coalesce(CASE WHEN language = 'Python' THEN starts_with(m, '.') OR py.ord IS NOT NULL WHEN language IN ('JavaScript', 'TypeScript') THEN starts_with(m, './') OR starts_with(m, '../')
-        WHEN language = 'Rust' THEN starts_with(m, 'crate::') OR starts_with(m, 'super::') OR starts_with(m, 'self::') WHEN language = 'Go' THEN contains(string_split(m, '/')[1], '.') AND pr.ord IS NOT NULL WHEN language = 'Java' THEN pr.ord IS NOT NULL WHEN language IN ('C', 'C++') THEN NOT starts_with(m, '<') ELSE false END, false) AS internal
-        FROM x LEFT JOIN py ON py.file_id = x.file_id AND py.ord = x.ord LEFT JOIN pr ON pr.file_id = x.file_id AND pr.ord = x.ord"""
+    o["import_internal"] = f"""WITH {imp}, x AS (SELECT file_id, repo, ord, i.module AS m, {lang} AS language FROM im), fs AS (SELECT DISTINCT repo, path AS f FROM files),
+        g AS (SELECT DISTINCT repo, language, m FROM x), r AS (SELECT *, CASE
+            WHEN language = 'Python' THEN starts_with(m, '.') OR EXISTS (SELECT 1 FROM fs, (SELECT replace(trim(unnest(string_split(m, ','))), '.', '/') AS p) WHERE fs.repo = g.repo AND (f = p || '.py' OR f = p || '/__init__.py'))
+            WHEN language IN ('JavaScript', 'TypeScript') THEN starts_with(m, './') OR starts_with(m, '../')
+            WHEN language = 'Rust' THEN starts_with(m, 'crate::') OR starts_with(m, 'super::') OR starts_with(m, 'self::')
+            WHEN language = 'Go' THEN contains(string_split(m, '/')[1], '.') AND EXISTS (SELECT 1 FROM fs WHERE fs.repo = g.repo AND (contains(f, m) OR starts_with(f, string_split(m, '/')[-1])))
+            WHEN language = 'Java' THEN EXISTS (SELECT 1 FROM fs WHERE fs.repo = g.repo AND starts_with(f, replace(m, '.', '/')))
+            WHEN language IN ('C', 'C++') THEN NOT starts_with(m, '<') ELSE false END AS internal FROM g)
+        SELECT file_id, ord, coalesce(internal, false) AS internal FROM x LEFT JOIN r ON r.repo = x.repo AND r.m = x.m AND r.language IS NOT DISTINCT FROM x.language"""
     o.pop("make_chunks")
     return o
 

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalar as S
 from .operators import graph as G
 
 
@@ -45,6 +46,26 @@ def store(chunks: DataFrame, place: str) -> None:
     chunks.write.mode("overwrite").partitionBy("repo").parquet(place)
 
 
+def drop_store(spark: SparkSession, place: str) -> bool:
+    """Remove a chunk store; False if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def open_store(spark: SparkSession, place: str) -> DataFrame:
+    """The chunks of a store; a place that holds none is an error of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"no chunk store at {place}")
+    return spark.read.parquet(place)
+
+
+def store_info(chunks: DataFrame, job: str) -> DataFrame:
+    """repo, json: name of the collection and number of chunks of each repository's store."""
+    n = chunks.groupBy("repo").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+    return n.select("repo", F.to_json(F.struct(S.collection_name(F.col("repo"), F.lit(job)).alias("collection"), "n_chunks")).alias("json"))
+
+
 def store_count(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo").agg(F.count_distinct("chunk_id").alias("n_chunks"))
 

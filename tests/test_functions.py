@@ -10,13 +10,14 @@ def values(spark, rows, schema, *cols):
 
 
 def test_included(spark):
-    cases = [("src/main.py", 1000, True), ("src/index.ts", 2000, True), ("node_modules/lodash/index.js", 100, False), ("src/__pycache__/utils.cpython-311.pyc", 500, False), ("package-lock.json", 50000, False), ("src/big_generated.py", 200000, False), ("Makefile", 500, False), ("backend/venv/lib/requests/api.py", 3000, False), ("cmd/server/main.go", 1500, True), (".github/workflows/ci.yml", 800, True), ("a.py", 150000, True), ("a.py", 150001, False), ("x.egg-info/a.py", 1, False), ("src/dist.py", 1, True), ("A.PY", None, True)]
+    cases = [("tool/run.py", 900, True), ("web/app.ts", 2100, True), ("web/node_modules/x/y.js", 90, False), ("tool/__pycache__/run.cpython-313.pyc", 400, False), ("web/package-lock.json", 41000, False), ("tool/tables.py", 160001, False), ("BUILD", 300, False), ("svc/venv/lib/a/b.py", 2500, False), ("cmd/daemon/run.go", 1200, True), (".github/workflows/test.yml", 700, True)]
+    cases += [("a.py", 150000, True), ("a.py", 150001, False), ("x.egg-info/a.py", 1, False), ("tool/dist.py", 1, True), ("A.PY", None, True)]
     got = values(spark, [(p, s) for p, s, _ in cases], "path string, size bigint", S.included(F.col("path"), F.col("size")))
     assert [g[0] for g in got] == [k for *_, k in cases]
 
 
 def test_languages_and_urls(spark):
-    got = values(spark, [("src/utils.py",), ("Button.tsx",), ("build.mjs",), ("Dockerfile",), ("src/Main.PY",), (None,)], "path string", S.language(F.col("path")))
+    got = values(spark, [("tool/rows.py",), ("Panel.tsx",), ("pack.mjs",), ("Containerfile",), ("tool/Run.PY",), (None,)], "path string", S.language(F.col("path")))
     assert [g[0] for g in got] == ["Python", "TypeScript", "JavaScript", "Unknown", "Python", None]
     urls = [("https://host/o/r",), ("https://host/o/r/",), (" host/o/r.git ",), ("https://host/only",), (None,)]
     got = values(spark, urls, "u string", S.repo_parts(F.col("u")))

@@ -1,3 +1,5 @@
+import json
+import time
 from datetime import datetime
 
 import pytest
@@ -5,7 +7,9 @@ import pytest
 from sediment import sinks
 from sediment.operators import cache as H
 from sediment.operators import reports as R
+from sediment.operators import symbols as Y
 from sediment.plans import explain as E
+from sediment.plans.explain import explain
 from sediment.plans.service import Rejected, Request, Service
 from sediment.plans.session import Analysis
 from sediment.sources import tree
@@ -36,9 +40,9 @@ def test_service(spark, analysis):
     now = datetime(2025, 1, 1)
     log = spark.createDataFrame([("j", "o/r", now, now, "status", None, 100, None)], "job_id string, repo string, ts timestamp_ntz, received_at timestamp_ntz, kind string, phase string, progress int, error string")
     s = Service(spark, log, analysis.files)
-    queued = s.submit(Request("https://host/o/r.git"), "k", now)
+    queued = s.submit(Request("https://github.com/o/r.git"), "k", now)
     assert Service(spark, log.unionByName(queued), analysis.files).health()["active"] == 1
-    for status, call in ((409, lambda: Service(spark, queued, analysis.files).admit(Request("host/o/r"))), (422, lambda: s.admit(Request("host/o"))), (422, lambda: s.admit(Request("host/o/r", 101))), (400, lambda: s.admit(Request("host/o/none"))), (404, lambda: s.status("none"))):
+    for status, call in ((409, lambda: Service(spark, queued, analysis.files).admit(Request("https://github.com/o/r"))), (422, lambda: s.admit(Request("github.com/o"))), (422, lambda: s.admit(Request("https://github.com/o/r", 101))), (400, lambda: s.admit(Request("github.com/o/none"))), (404, lambda: s.status("none"))):
         with pytest.raises(Rejected) as e:
             call()
         assert e.value.status == status
@@ -94,3 +98,41 @@ def test_stream(spark, tmp_path):
     q = SJ.job_state(SJ.read(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("state").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["job_id"], r["status"], r["progress"]) for r in spark.table("state").collect()] == [("j", "complete", 100)]
+
+
+def test_requests_of_other_hosts_are_refused():
+    hosts = ("github.com",)
+    assert Request("https://www.github.com/o/r/").validate(hosts) == ("o", "r") and Request("git@github.com/o/r.git").validate(hosts) == ("o", "r")
+    for url in ("https://other.example/o/r", "https://github.com.evil.example/o/r", "https://github.com//r", "github.com/o", ""):
+        with pytest.raises(Rejected) as e:
+            Request(url).validate(hosts)
+        assert e.value.status == 422
+    assert Request("https://code.example/o/r").validate(("code.example",)) == ("o", "r")
+
+
+def test_parsed_imports_are_flagged(spark):
+    files = spark.createDataFrame([(1, "o/r", "app/main.py", 10, "a"), (2, "o/r", "app/store.py", 10, "b"), (3, "o/r", "web/x.js", 10, "c"), (4, "o/r", "app/empty.py", 10, "d")], "file_id bigint, repo string, path string, size_bytes bigint, sha string")
+    contents = spark.createDataFrame([(1, "o/r", "app/main.py", "import os\nimport app.store\nfrom . import store\n"), (2, "o/r", "app/store.py", "import json\n"), (3, "o/r", "web/x.js", "import a from './y'\nimport React from 'react'\n"), (4, "o/r", "app/empty.py", "X = 1\n")], "file_id bigint, repo string, path string, content string")
+    a = Analysis(spark, files, contents)
+    got = {r["file_id"]: [i["is_internal"] for i in r["imports"]] for r in a.symbols.collect()}
+    assert got == {1: [False, True, True], 2: [False], 3: [True, False], 4: []}
+    assert Y.totals(a.symbols).first()["n_internal_imports"] == 3
+
+
+def test_paced_calls_share_one_task(spark):
+    rows = spark.createDataFrame([("o/r", f"f{i}.py", "o", "r", f"s{i}", f"File: f{i}") for i in range(6)], "repo string, path string, owner string, repo_name string, sha string, prompt string").repartition(4)
+    cache = spark.createDataFrame([], "cache_key string, explanation string")
+    start = time.time()
+    assert explain(rows, cache, lambda p: p + "!", 0.2).count() == 6
+    assert time.time() - start >= 1.0
+
+
+def test_chunk_store(spark, tmp_path):
+    chunks = spark.createDataFrame([("o/r", "a", "x"), ("o/r", "b", "y"), ("o/s", "a", "z")], "repo string, chunk_id string, content string")
+    place = f"{tmp_path}/stores/j1"
+    with pytest.raises(ValueError):
+        sinks.open_store(spark, place)
+    sinks.store(chunks, place)
+    assert sinks.open_store(spark, place).count() == 3
+    assert json.loads(sinks.store_info(chunks, "j1").where("repo = 'o/r'").first()["json"])["n_chunks"] == 2
+    assert sinks.drop_store(spark, place) and not sinks.drop_store(spark, place)

@@ -9,19 +9,19 @@ from sediment.operators import resolve as V
 
 IMPORT = "file_id bigint, ord int, repo string, path string, language string, module string, names array<string>, is_internal boolean"
 CASES = [
-    ("src/agents/ingestion.py", "Python", "src.utils.github_api", [], ["src/utils/github_api.py", "src/state.py"], {"src/utils/github_api.py"}),
-    ("src/agents/ingestion.py", "Python", "src.utils", [], ["src/utils/__init__.py"], {"src/utils/__init__.py"}),
-    ("src/agents/ingestion.py", "Python", "requests", [], ["src/state.py"], set()),
-    ("src/agents/ingestion.py", "Python", ".state", ["X"], ["src/state.py", "src/agents/ingestion.py"], {"src/state.py"}),
-    ("src/agents/ingestion.py", "Python", "..state", ["X"], ["src/state.py"], {"src/state.py"}),
-    ("src/agents/ingestion.py", "Python", ".", ["state", "utils"], ["src/agents/state.py", "src/agents/utils.py"], {"src/agents/state.py", "src/agents/utils.py"}),
-    ("src/agents/ingestion.py", "Python", ".", ["*"], ["src/state.py"], set()),
-    ("src/agents/ingestion.py", "Python", "a, b", [], ["a.py", "b.py"], {"a.py", "b.py"}),
-    ("src/utils/index.ts", "TypeScript", "./helpers.ts", [], ["src/utils/helpers.ts"], {"src/utils/helpers.ts"}),
-    ("src/utils/index.ts", "TypeScript", "./helpers", [], ["src/utils/helpers.ts"], {"src/utils/helpers.ts"}),
-    ("src/components/App.tsx", "TypeScript", "./Button", [], ["src/components/Button/index.tsx"], {"src/components/Button/index.tsx"}),
-    ("src/utils/helpers.ts", "TypeScript", "../state", [], ["src/state.ts"], {"src/state.ts"}),
-    ("src/App.tsx", "TypeScript", "react", [], ["src/state.ts"], set()),
+    ("pkg/jobs/loader.py", "Python", "pkg.net.client", [], ["pkg/net/client.py", "pkg/conf.py"], {"pkg/net/client.py"}),
+    ("pkg/jobs/loader.py", "Python", "pkg.net", [], ["pkg/net/__init__.py"], {"pkg/net/__init__.py"}),
+    ("pkg/jobs/loader.py", "Python", "numpy", [], ["pkg/conf.py"], set()),
+    ("pkg/jobs/loader.py", "Python", ".conf", ["K"], ["pkg/conf.py", "pkg/jobs/loader.py"], {"pkg/conf.py"}),
+    ("pkg/jobs/loader.py", "Python", "..conf", ["K"], ["pkg/conf.py"], {"pkg/conf.py"}),
+    ("pkg/jobs/loader.py", "Python", ".", ["queue", "timer"], ["pkg/jobs/queue.py", "pkg/jobs/timer.py"], {"pkg/jobs/queue.py", "pkg/jobs/timer.py"}),
+    ("pkg/jobs/loader.py", "Python", ".", ["*"], ["pkg/conf.py"], set()),
+    ("pkg/jobs/loader.py", "Python", "a, b", [], ["a.py", "b.py"], {"a.py", "b.py"}),
+    ("web/lib/main.ts", "TypeScript", "./text.ts", [], ["web/lib/text.ts"], {"web/lib/text.ts"}),
+    ("web/lib/main.ts", "TypeScript", "./text", [], ["web/lib/text.ts"], {"web/lib/text.ts"}),
+    ("web/views/Shell.tsx", "TypeScript", "./Panel", [], ["web/views/Panel/index.tsx"], {"web/views/Panel/index.tsx"}),
+    ("web/lib/text.ts", "TypeScript", "../conf", [], ["web/conf.ts"], {"web/conf.ts"}),
+    ("web/Shell.tsx", "TypeScript", "svelte", [], ["web/conf.ts"], set()),
     ("a.go", "Go", "x.example/b", [], ["b.go"], set()),
 ]
 
@@ -37,7 +37,10 @@ def test_resolution(spark):
 
 
 def test_internal(spark):
-    rows = [("Go", "github.com/owner/repo/utils", ["utils/db.go"], True), ("Go", "fmt", ["fmt/x.go"], False), ("Rust", "crate::utils", [], True), ("Rust", "std::collections", [], False), ("Java", "com.example.models", ["com/example/models/A.java"], True), ("Java", "java.util", ["x.java"], False), ("C", '"config.h"', [], True), ("C", "<stdio.h>", [], False), ("JavaScript", "./a", [], True), ("Python", "a.b", ["a/b.py"], True)]
+    rows = [("Go", "code.example/org/tool/store", ["store/disk.go"], True), ("Go", "code.example/org/tool/stor", ["store/disk.go"], True), ("Go", "code.example/org/tool/disk", ["store/disk.go"], False), ("Go", "sort", ["sort/x.go"], False)]
+    rows += [("Go", "code.example/org/dep", ["third/code.example/org/deps/a.go"], True), ("Go", "example/dep.v2", ["third/code.example/dep.v2/a.go"], False), ("Go", "a.example/x", ["old-a.example/xy/z.go"], True), ("Go", "yaml.v3", ["lib/yaml.v3.go"], True), ("Go", "yaml.v3", ["lib/yaml.go"], False)]
+    rows += [("Rust", "crate::store", [], True), ("Rust", "core::mem", [], False), ("Java", "org.sample.rows", ["org/sample/rows/R.java"], True), ("Java", "org.sample.ro", ["org/sample/rows/R.java"], True), ("Java", "sample.rows", ["org/sample/rows/R.java"], False), ("Java", "java.time", ["x.java"], False)]
+    rows += [("C", '"ring.h"', [], True), ("C", "<math.h>", [], False), ("JavaScript", "./a", [], True), ("Python", "a.b", ["a/b.py"], True)]
     imports = spark.createDataFrame([(i, 0, f"r{i}", "p", lang, m, [], None) for i, (lang, m, _, _) in enumerate(rows)], IMPORT)
     files = spark.createDataFrame([(f"r{i}", f) for i, r in enumerate(rows) for f in [*r[2], "z.txt"]], "repo string, path string")
     got = {r["file_id"]: r["internal"] for r in V.is_internal(imports, files).collect()}
@@ -155,3 +158,43 @@ def test_file_graph(spark, tmp_path):
     assert q["file_graph_summary"](spark, d).first().asDict() == {"n_nodes": n, "n_edges": len(arcs), "n_circular": len(circular)}
     style = {r["node"]: r["color"] for r in q["file_node_style"](spark, d).collect()}
     assert {i for i, c in style.items() if c == "red"} == circular
+
+
+def test_cycles_by_brute_force():
+    """All elementary cycles, each once, also where dead ends are many."""
+    rng = random.Random(4)
+
+    def brute(arcs):
+        out, found = {}, set()
+        for a, b in arcs:
+            out.setdefault(a, []).append(b)
+
+        def go(p):
+            for x in out.get(p[-1], ()):
+                if x == p[0]:
+                    found.add(tuple(p))
+                elif x > p[0] and x not in p:
+                    go([*p, x])
+
+        for a in out:
+            go([a])
+        return found
+
+    for _ in range(200):
+        n = rng.randint(2, 7)
+        arcs = [(a, b) for a in range(n) for b in range(n) if a != b and rng.random() < rng.choice([0.2, 0.4])]
+        got = [tuple(c) for c in G.elementary(arcs, 10**9)]
+        assert len(got) == len(set(got)) and set(got) == brute(arcs)
+    diamonds = [x for i in range(60) for x in ((4 * i, 4 * i + 1), (4 * i, 4 * i + 2), (4 * i + 1, 4 * i + 3), (4 * i + 2, 4 * i + 3), (4 * i + 3, 4 * i + 4))]
+    assert len(list(G.elementary([*diamonds, (1, 0), (240, 999), (999, 240)], 5))) == 2
+
+
+def test_trimmed_and_estimate(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(50, 51), (51, 52), (52, 50), (40, 50), (52, 60)]
+    e = spark.createDataFrame(chain, "src bigint, dst bigint")
+    assert sorted(map(tuple, G.trimmed(e).collect())) == [(50, 51), (51, 52), (52, 50)]
+    assert G.trimmed(e.where("src < 40")).isEmpty() and G.trimmed(e.limit(0)).isEmpty()
+    acyclic = e.where("NOT (src = 52 AND dst = 50)")
+    exact = {r[0]: r[1] for r in G.transitive_impact(acyclic).collect()}
+    assert {r[0]: r[1] for r in G.transitive_impact_estimate(acyclic).collect()} == exact and exact[60] == 44
+    assert G.transitive_impact_estimate(e.limit(0)).isEmpty() and G.transitive_impact(e.limit(0)).isEmpty()

@@ -113,3 +113,22 @@ def test_given_chunks_are_rebuilt(spark):
     mine = K.make_chunks(t("contents"), t("symbols").withColumn("parse_error", F.lit(False))).select("file_id", "symbol_type", "line_start", F.col("content").alias("mine"), "symbol_name").where("symbol_type = 'function'")
     both = t("chunks").where("symbol_type = 'function'").dropDuplicates(["chunk_no"]).join(mine, ["file_id", "symbol_type", "line_start", "symbol_name"])
     assert both.count() > 50 and both.where("mine = content").count() / both.count() > 0.95
+
+
+def test_imports_in_comments_and_literals_do_not_count():
+    """An import inside a comment, a template or a literal of several lines is none."""
+    cases = [
+        ("JavaScript", "/*\nimport a from 'x'\n*/\nconst t = `\nimport b from 'y'\n`;\n// import c from 'w'\nimport d from 'z'\n", ["z"]),
+        ("Go", "package p\n/*\nimport \"x\"\n*/\nimport (\n\t\"a\"\n\t// \"c\"\n\t\"b\"\n)\nvar s = `\nimport \"y\"\n`\n", ["a", "b"]),
+        ("Java", '/* \nimport a.B;\n*/\nimport c.D;\nclass X { String s = """\nimport e.F;\n"""; }\n', ["c"]),
+        ("Rust", 'use a::b;\n/*\nuse c::d;\n*/\nfn f() { let s = r#"\nuse e::f;\n"#; }\n', ["a"]),
+        ("C", "/*\n#include <a.h>\n*/\n#include <b.h>\n#include \"c.h\"\n", ["<b.h>", '"c.h"']),
+    ]
+    for language, text, modules in cases:
+        assert [i["module"] for i in P.parse_text(text, language)["imports"]] == modules, language
+
+
+def test_default_labels():
+    java = "class A { int f(int x) { switch (x) { case 1: return 1; case 2: return 2; default: return 3; } } }"
+    assert P.parse_text(java, "Java")["complexity"] == {"f": 4}
+    assert P.parse_text("class B { public: B() { x = 1; } void g() = default; int h(int x) { switch (x) { case 1: return 1; default: return 2; } } };", "C++")["complexity"]["h"] == 3
