@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -85,9 +86,21 @@ def bare(language: str, text: str) -> str:
     return _COMMENT[language == "Python"].sub(lambda m: m[0] if m[0][0] in "\"'`" and m[0][:3] not in ('\"\"\"', "'''") else "", text)
 
 
+_SPACES = np.array([chr(c).isspace() for c in range(256)])
+_ALNUMS = np.array([chr(c).isalnum() for c in range(256)])
+
+
+def shares(text: str) -> tuple[float, float]:
+    """Share of white space and of letters and digits; characters beyond the first 256 count as letters."""
+    c = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFF)  # the last of the first 256 is a letter
+    n = max(1, len(c))
+    return float(np.count_nonzero(_SPACES[c]) / n), float(np.count_nonzero(_ALNUMS[c]) / n)
+
+
 def layout(language: str, text: str) -> dict[str, float]:
     """Statistics of a whole text: of its lines, of its characters, and of what its code is made of without comments."""
-    n, lines = max(1, len(text)), [line for line in text.split("\n") if line.strip()]
+    lines = [line for line in text.split("\n") if line.strip()]
+    space, alnum = shares(text)
     plain = bare(language, text)
     solid = len(plain) - plain.count(" ") - plain.count("\n")
     count = inside = numbers = 0
@@ -98,8 +111,8 @@ def layout(language: str, text: str) -> dict[str, float]:
     return {
         "longest": max(map(len, lines), default=0),
         "mean": sum(map(len, lines)) / max(1, len(lines)),
-        "space": sum(map(str.isspace, text)) / n,
-        "alnum": sum(map(str.isalnum, text)) / n,
+        "space": space,
+        "alnum": alnum,
         "number": numbers / max(1, len(plain)),
         "run": max((len(m[0]) for m in _ENCODED.finditer(_NO_URL.sub("", text))), default=0),
         "code": len(plain),
@@ -117,9 +130,8 @@ def minified(language: str, text: str) -> bool:
     total = sum(map(len, lines))
     if len(long) < 0.5 * total or not long:
         return False
-    space = sum(map(str.isspace, long)) / len(long)
-    signs = sum(not c.isalnum() and not c.isspace() for c in long) / len(long)
-    return total / len(lines) >= b.mean and space <= 2 * b.space and signs >= 0.15
+    space, alnum = shares(long)
+    return total / len(lines) >= b.mean and space <= 2 * b.space and 1 - space - alnum >= 0.15
 
 
 def by_layout(language: str, text: str) -> str | None:
