@@ -24,6 +24,7 @@ from .operators import reports as R
 from .operators import resolve as V
 from .operators import retrieve as T
 from .operators import score as C
+from .operators import sections as N
 from .operators import symbols as Y
 from .parsing import driver as P
 from . import sinks
@@ -100,6 +101,65 @@ def late_imports(s: SparkSession, d: str) -> DataFrame:
     return Y.imports(t(s, d, "symbols")).withColumn("language", S.language(F.col("path")))
 
 
+def path_imports(s: SparkSession, d: str) -> DataFrame:
+    """Imports that resolve, made of the paths: of a repository's Python files, and of its JavaScript and TypeScript files, in order
+    of path, number n imports number n div 2; those of 4 mod 5 are imported back, which closes cycles."""
+    family = F.when(F.col("path").rlike(r"\.py$"), "Python").when(F.col("path").rlike(r"\.(js|jsx|mjs|cjs|ts|tsx)$"), "TypeScript")
+    rows = M.manifest(t(s, d, "files")).select("file_id", "repo", "path", family.alias("family")).where("family IS NOT NULL")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("repo", "family").orderBy("path")))
+    to = rows.select("repo", "family", F.col("r").alias("r2"), F.regexp_replace("path", r"\.[A-Za-z]+$", "").alias("stem"))
+    down = rows.where("r >= 2").withColumn("r2", F.expr("r div 2")).join(to, ["repo", "family", "r2"])
+    back = to.where("r2 % 5 = 4").withColumn("r", F.expr("r2 div 2")).join(rows, ["repo", "family", "r"]).select(*down.columns)
+    up = F.size(F.split("path", "/")) - 1
+    module = F.when(F.col("family") == "Python", F.replace(F.col("stem"), F.lit("/"), F.lit("."))).otherwise(F.concat(F.when(up > 0, F.expr("repeat('../', size(split(path, '/')) - 1)")).otherwise("./"), "stem"))
+    both = down.unionByName(back).withColumn("module", module)
+    ord_ = F.row_number().over(Window.partitionBy("file_id").orderBy("module")) - 1
+    return both.select("file_id", ord_.alias("ord"), "repo", "path", F.col("family").alias("language"), "module", F.array().cast("array<string>").alias("names"), F.lit(True).alias("is_internal"))
+
+
+def import_graph(s: SparkSession, d: str) -> DataFrame:
+    """src, dst by file_id of the resolved imports of paths."""
+    ids = M.manifest(t(s, d, "files")).select("repo", "path", "file_id")
+    e = V.edges(path_imports(s, d), ids)
+    a, b = ids.select("repo", F.col("path").alias("src"), F.col("file_id").alias("s")), ids.select("repo", F.col("path").alias("dst"), F.col("file_id").alias("d"))
+    return e.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
+def facts(s: SparkSession, d: str) -> N.Facts:
+    """The tables as facts for reports, on the graph of resolved imports; a module's docstring serves as its file's explanation."""
+    files, contents, symbols = t(s, d, "files"), t(s, d, "contents"), t(s, d, "symbols")
+    man = M.manifest(files)
+
+    def scored_() -> DataFrame:
+        coupling = f.degrees.select("file_id", F.col("out_degree").alias("coupling"))
+        errors = symbols.groupBy("file_id").agg(F.max(F.coalesce("parse_error", F.lit(False))).alias("parse_error"))
+        circular = G.circular_nodes(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id")
+        return C.scores(M.with_lines(files, contents), Y.file_counts(symbols), C.file_complexity(f.functions), coupling, circular, errors)
+
+    def order() -> DataFrame:
+        ring = G.circular_nodes(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id").join(f.nodes, "file_id").select("repo").distinct()
+        kept = f.nodes.join(ring, "repo", "left_anti").select("file_id")
+        e = f.edges.join(kept.select(F.col("file_id").alias("src")), "src", "left_semi").join(kept.select(F.col("file_id").alias("dst")), "dst", "left_semi")
+        return G.levels(kept.withColumnRenamed("file_id", "node"), e).withColumnRenamed("node", "file_id")
+
+    f = N.Facts(
+        repos=lambda: t(s, d, "repos").groupBy("repo").agg(F.min("repo_url").alias("repo_url"), F.max("default_branch").alias("default_branch")),
+        tiers=lambda: M.analysis_tiers(files),
+        languages=lambda: M.language_breakdown(files, True),
+        totals=lambda: Y.totals(symbols),
+        scored=scored_,
+        nodes=lambda: man.select("file_id", "repo", "path"),
+        degrees=lambda: G.degrees(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id"),
+        edges=lambda: G.cut(import_graph(s, d)),
+        cycles=lambda: G.cycles(file_nodes(s, d), f.edges).select("nodes", "length"),
+        order=order,
+        classes=lambda: Y.classes(symbols),
+        functions=lambda: function_rows(s, d),
+        explanations=lambda: symbols.where("module_docstring IS NOT NULL").groupBy("file_id").agg(F.max("module_docstring").alias("explanation")),
+    )
+    return f
+
+
 def queries() -> dict[str, Query]:
     def col(fn, table, keep, name):
         return lambda s, d: t(s, d, table).select(*keep, fn().alias(name)).distinct()
@@ -133,7 +193,11 @@ def queries() -> dict[str, Query]:
         "import_table": lambda s, d: Y.imports(t(s, d, "symbols")).select("file_id", "ord", "module", F.array_join("names", ",").alias("names"), "is_internal"),
         # imports
         "import_candidates": lambda s, d: V.candidates(late_imports(s, d)).select("file_id", "ord", "part", "pref", "target"),
-        "import_edges": lambda s, d: V.edges(late_imports(s, d), M.manifest(t(s, d, "files"))),
+        "import_edges": lambda s, d: V.edges(path_imports(s, d), M.manifest(t(s, d, "files"))),
+        "import_edges_given": lambda s, d: V.edges(late_imports(s, d), M.manifest(t(s, d, "files"))),
+        "import_degrees": lambda s, d: G.degrees(file_nodes(s, d), import_graph(s, d)),
+        "import_circular": lambda s, d: G.circular_nodes(file_nodes(s, d), import_graph(s, d)),
+        "import_isolated": lambda s, d: G.isolated(file_nodes(s, d), import_graph(s, d)),
         "import_internal": lambda s, d: V.is_internal(late_imports(s, d), t(s, d, "files")).select("file_id", "ord", "internal"),
         "import_unresolved": lambda s, d: V.unresolved(late_imports(s, d), M.manifest(t(s, d, "files"))),
         # graph
@@ -148,7 +212,7 @@ def queries() -> dict[str, Query]:
         "circular_nodes": lambda s, d: G.circular_nodes(trade_nodes(s, d), trade(s, d)),
         "components": lambda s, d: G.components(trade_nodes(s, d), trade(s, d)),
         "cycles": lambda s, d: G.cycles(trade_nodes(s, d), trade(s, d)).select(F.array_join("nodes", ",").alias("nodes"), "length"),
-        "pagerank": lambda s, d: G.pagerank(trade_nodes(s, d), trade(s, d)),
+        "pagerank": lambda s, d: G.pagerank(trade_nodes(s, d), trade(s, d)).select("node", F.round("pagerank", 4).alias("pagerank")),
         "pagerank_rounds": lambda s, d: G.pagerank_rounds(trade_nodes(s, d), trade(s, d), ROUNDS),
         "reading_order": lambda s, d: G.reading_order(file_nodes(s, d), file_edges(s, d)),
         "transitive_impact": lambda s, d: G.transitive_impact(file_edges(s, d)),
@@ -184,7 +248,7 @@ def queries() -> dict[str, Query]:
         "store_count": lambda s, d: sinks.store_count(t(s, d, "chunks")),
         "vector_topk": lambda s, d: T.nearest_of_many(t(s, d, "embeddings"), t(s, d, "embeddings").where("vec_id % 100 = 0")),
         "vector_topk_filtered": lambda s, d: T.nearest_of_many(t(s, d, "embeddings"), t(s, d, "embeddings").where("vec_id % 100 = 0"), same="label"),
-        "embed_documents": lambda s, d: T.embed(t(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("n")),
+        "embed_documents": lambda s, d: T.embed(t(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("n"), F.sha2(F.array_join(F.transform("embedding", lambda x: F.format_number(x, 5)), ","), 256).alias("digest")),
         "context_budget": lambda s, d: X.budgeted(t(s, d, "chunks")).select("chunk_no", "position", "used", "fate", "kept_chars"),
         "context_text": lambda s, d: X.assembled(t(s, d, "chunks")).select("repo", "file_path", F.length("context").alias("n_chars"), "n_dropped"),
         "explain_selection": lambda s, d: X.selected(scored(s, d), node_degrees(s, d)),
@@ -206,6 +270,29 @@ def queries() -> dict[str, Query]:
         "domain_classes": lambda s, d: R.domain_classes(Y.classes(t(s, d, "symbols")), node_degrees(s, d)),
         "file_table": lambda s, d: R.filtered(scored(s, d), "HIGH", "INDEX", "max").select("repo", "path", "max_complexity"),
         "language_bars": lambda s, d: R.bars(M.manifest(t(s, d, "files")).groupBy("language").agg(F.count("*").alias("n_files")), "n_files"),
+        "report_summary": lambda s, d: N.summary(facts(s, d)),
+        "report_risk": lambda s, d: facts(s, d).scored.select("file_id", "risk_level", F.size("risk_reasons").alias("n_reasons"), "in_cycle", "coupling"),
+        "report_architecture": lambda s, d: N.architecture(facts(s, d)),
+        "report_entry_points": lambda s, d: N.entry_points(facts(s, d)),
+        "report_core": lambda s, d: N.core(facts(s, d)),
+        "report_components": lambda s, d: flat(N.components(facts(s, d)), "uses", "users"),
+        "report_relationships": lambda s, d: flat(N.relationships(facts(s, d)), "uses", "users"),
+        "report_impact": lambda s, d: flat(N.impact(facts(s, d)), "users"),
+        "report_high_risk": lambda s, d: N.high_risk(facts(s, d)),
+        "report_critical": lambda s, d: N.critical(facts(s, d)),
+        "report_parse_errors": lambda s, d: N.parse_errors(facts(s, d)),
+        "report_complex_functions": lambda s, d: N.complex_functions(facts(s, d)),
+        "report_cycles": lambda s, d: N.rings(facts(s, d)),
+        "report_reading": lambda s, d: N.reading(facts(s, d)),
+        "report_domain": lambda s, d: N.domain(facts(s, d)),
+        "report_safe": lambda s, d: N.safe(facts(s, d)),
+        "report_explained": lambda s, d: flat(N.explained(facts(s, d)), "uses", "users").select("repo", "position", "path", "anchor", "one_line", "risk", "in_degree", "uses", "users", "text"),
+        "report_explanations_json": lambda s, d: N.explanations_json(facts(s, d)),
+        "report_onboarding": lambda s, d: documented(s, d, N.onboarding),
+        "report_agent_context": lambda s, d: documented(s, d, N.agent_context),
+        "report_file_explanations": lambda s, d: documented(s, d, N.file_explanations),
+        "api_result": lambda s, d: api_sizes(N.api_result(facts(s, d))),
+        "api_json": lambda s, d: N.api_json(facts(s, d)).select("repo", F.sha2("json", 256).alias("json_sha"), F.length("json").alias("n_chars")),
         # parsing
         "parse_symbols": lambda s, d: P.parse_files(t(s, d, "contents")).select("file_id", "language", F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"), "parse_error"),
         "parse_complexity": lambda s, d: P.function_complexity(P.parse_files(t(s, d, "contents"))).select("file_id", "function", "complexity"),
@@ -213,6 +300,22 @@ def queries() -> dict[str, Query]:
     return q
 
 
+def flat(rows: DataFrame, *arrays: str) -> DataFrame:
+    return rows.withColumns({c: F.array_join(c, ",") for c in arrays})
+
+
+def documented(s: SparkSession, d: str, sections: Callable[[N.Facts], dict]) -> DataFrame:
+    f = facts(s, d)
+    return N.document(f.repos, sections(f)).select("repo", F.sha2("document", 256).alias("document_sha"), F.length("document").alias("n_chars"))
+
+
+def api_sizes(rows: DataFrame) -> DataFrame:
+    """The figures of a result and how long its lists are."""
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")
+    lists = ("top_files", "dependency_rows", "critical_and_high", "complexity_rows", "top_complex_functions", "reading_order", "circular_deps")
+    return rows.select("repo", "branch", "files_discovered", "files_analyzed", "mode", "n_functions", "n_classes", "n_edges", "n_cycles", "critical", "high", "medium", "low", *[n(c) for c in lists], F.array_join(F.transform("top_files", lambda x: x["path"]), ",").alias("top_paths"), F.element_at("top_complex_functions", 1)["function"].alias("worst_function"))
+
+
 def _list(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -357,6 +460,80 @@ def oracle_sql() -> dict[str, str]:
             WHEN language = 'Java' THEN EXISTS (SELECT 1 FROM fs WHERE fs.repo = g.repo AND starts_with(f, replace(m, '.', '/')))
             WHEN language IN ('C', 'C++') THEN NOT starts_with(m, '<') ELSE false END AS internal FROM g)
         SELECT file_id, ord, coalesce(internal, false) AS internal FROM x LEFT JOIN r ON r.repo = x.repo AND r.m = x.m AND r.language IS NOT DISTINCT FROM x.language"""
+    # resolved imports of paths, and reports on their graph
+    ends = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    ies = f"""{man}, rk AS (SELECT file_id, repo, path, regexp_replace(path, '\\.[A-Za-z]+$', '') AS stem, CASE WHEN regexp_matches(path, '\\.py$') THEN 'Python' WHEN regexp_matches(path, '\\.(js|jsx|mjs|cjs|ts|tsx)$') THEN 'TypeScript' END AS fam FROM man),
+        rn AS (SELECT *, row_number() OVER (PARTITION BY repo, fam ORDER BY path) AS r FROM rk WHERE fam IS NOT NULL),
+        pim AS (SELECT DISTINCT a.file_id, a.repo, a.path, a.fam, CASE a.fam WHEN 'Python' THEN replace(b.stem, '.', '/') ELSE b.stem END AS stem FROM rn a JOIN rn b ON a.repo = b.repo AND a.fam = b.fam AND (a.r >= 2 AND b.r = a.r // 2 OR b.r % 5 = 4 AND a.r = b.r // 2)),
+        cand AS (SELECT *, CASE fam WHEN 'Python' THEN {ends(V.PY_ENDINGS)} ELSE {ends(V.JS_ENDINGS)} END AS es FROM pim), opt AS (SELECT file_id, repo, stem, k, stem || es[k] AS target FROM cand, range(1, {len(V.JS_ENDINGS) + 1}) x(k) WHERE k <= len(es)),
+        hit AS (SELECT o.file_id AS src, o.stem, arg_min(m.file_id, k) AS dst FROM opt o JOIN man m ON m.repo = o.repo AND m.path = o.target GROUP BY 1, 2), fe AS (SELECT DISTINCT src, dst FROM hit WHERE src <> dst),
+        din AS (SELECT dst AS node, count(*) AS n FROM fe GROUP BY 1), dout AS (SELECT src AS node, count(*) AS n FROM fe GROUP BY 1),
+        deg AS (SELECT file_id AS node, coalesce(din.n, 0) AS in_degree, coalesce(dout.n, 0) AS out_degree FROM man LEFT JOIN din ON din.node = file_id LEFT JOIN dout ON dout.node = file_id)"""
+    cyc = f"{ies}, ir AS (SELECT src, dst FROM fe UNION SELECT r.src, fe.dst FROM ir r JOIN fe ON r.dst = fe.src), cyc AS (SELECT DISTINCT src AS node FROM ir WHERE src = dst)"
+    isc = scored_.replace(fedges, cyc).replace("coalesce(parse_error, false) AS pe", "coalesce(parse_error, false) AS pe, cyc.node IS NOT NULL AS cy").replace("LEFT JOIN er USING (file_id)", "LEFT JOIN er USING (file_id) LEFT JOIN cyc ON cyc.node = m.file_id").replace("CAST(pe AS INT) + ", "CAST(pe AS INT) + CAST(cy AS INT) + ")
+    two = lambda c: f"array_to_string(string_split({c}, '/')[greatest(len(string_split({c}, '/')) - 2, 1):], '/')"
+    said = lambda n: f"array_to_string(string_split(regexp_replace(regexp_replace(explanation, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31))[:{n}], ' ')"
+    rf = f"""{isc}, fs AS (SELECT m.file_id, m.repo, m.path, {two('m.path')} AS short, in_degree, out_degree, sc.risk_level, sc.a AS avg_complexity FROM man m JOIN deg ON deg.node = m.file_id LEFT JOIN sc ON sc.file_id = m.file_id),
+        us AS (SELECT fe.src AS file_id, list(short ORDER BY path) AS uses FROM fe JOIN fs ON fs.file_id = fe.dst GROUP BY 1), ub AS (SELECT fe.dst AS file_id, list(short ORDER BY path) AS users FROM fe JOIN fs ON fs.file_id = fe.src GROUP BY 1),
+        od0 AS (SELECT node, 0 AS level FROM deg JOIN man ON file_id = node WHERE in_degree = 0 AND repo NOT IN (SELECT repo FROM cyc JOIN man ON file_id = node) UNION SELECT fe.dst, od0.level + 1 FROM od0 JOIN fe ON fe.src = od0.node), od AS (SELECT node, max(level) AS level FROM od0 GROUP BY 1),
+        ex AS (SELECT file_id, max(module_docstring) AS explanation FROM symbols WHERE module_docstring IS NOT NULL GROUP BY 1),
+        pair AS (SELECT x.repo, x.short || ' -> ' || y.short || ' -> ' || x.short AS chain, x.file_id || ',' || y.file_id AS key FROM fe a JOIN fe b ON a.src = b.dst AND a.dst = b.src AND a.src < a.dst JOIN fs x ON x.file_id = a.src JOIN fs y ON y.file_id = a.dst)"""
+    go = lambda rows, order, k, cols: f"WITH RECURSIVE {rf}, z AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {order}) AS position FROM ({rows})) SELECT repo, position, {cols} FROM z WHERE position <= {k}"
+    head = lambda c, n: f"coalesce(array_to_string({c}[:{n}], ','), '') AS {c}"
+    near = "SELECT fs.*, uses, users, coalesce(risk_level, '?') AS risk FROM fs LEFT JOIN us USING (file_id) LEFT JOIN ub USING (file_id)"
+    lim = Limits()
+    figures = f"""WITH RECURSIVE {rf}, {sym.replace('sym AS', 'sy2 AS')}, n1 AS (SELECT repo, count(*) AS n FROM man GROUP BY 1), l1 AS (SELECT repo, language, count(*) AS n FROM man WHERE language NOT IN ('Markdown', 'YAML', 'TOML', 'Unknown') GROUP BY 1, 2),
+        l2 AS (SELECT repo, (list(language ORDER BY n DESC, language))[1] AS primary_language, (list(n ORDER BY n DESC, language))[1] AS pn, array_to_string((list(language || ' (' || n || ' files)' ORDER BY n DESC, language))[:5], ', ') AS languages FROM l1 GROUP BY 1),
+        t1 AS (SELECT repo, coalesce(sum(len(functions)), 0) AS nf, coalesce(sum(len(classes)), 0) AS nc FROM sy2 GROUP BY 1), e1 AS (SELECT repo, count(*) AS n FROM fe JOIN man ON file_id = src GROUP BY 1), c1 AS (SELECT repo, count(*) AS n FROM pair GROUP BY 1),
+        r1 AS (SELECT repo, count(*) FILTER (risk_level = 'CRITICAL') AS critical, count(*) FILTER (risk_level = 'HIGH') AS high, count(*) FILTER (risk_level = 'MEDIUM') AS medium, count(*) FILTER (risk_level = 'LOW') AS low, count(*) AS ns FROM sc GROUP BY 1),
+        fig AS (SELECT n1.repo, n1.n AS files_discovered, least(n1.n, {lim.sampled}) AS files_analyzed, CASE WHEN n1.n <= {lim.full} THEN 'Full' WHEN n1.n <= {lim.warning} THEN 'Full (Warning)' ELSE 'Sampled' END AS mode, primary_language, CAST(round(100.0 * pn / greatest(least(n1.n, {lim.sampled}), 1)) AS INT) AS primary_percent, languages,
+        CAST(coalesce(nf, 0) AS BIGINT) AS n_functions, CAST(coalesce(nc, 0) AS BIGINT) AS n_classes, n1.n AS n_nodes, coalesce(e1.n, 0) AS n_edges, coalesce(c1.n, 0) AS n_cycles, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(ns, 0) AS ns
+        FROM n1 LEFT JOIN l2 USING (repo) LEFT JOIN t1 USING (repo) LEFT JOIN e1 USING (repo) LEFT JOIN c1 USING (repo) LEFT JOIN r1 USING (repo))"""
+    o |= {
+        "import_edges": f"WITH {ies} SELECT a.repo, a.path AS src, b.path AS dst FROM fe JOIN man a ON a.file_id = src JOIN man b ON b.file_id = dst",
+        "import_degrees": f"WITH {ies} SELECT * FROM deg",
+        "import_circular": f"WITH RECURSIVE {cyc} SELECT node FROM cyc",
+        "import_isolated": f"WITH {ies} SELECT node FROM deg WHERE in_degree = 0 AND out_degree = 0",
+        "report_risk": f"WITH RECURSIVE {isc} SELECT file_id, risk_level, n_reasons, cy AS in_cycle, coupling FROM sc",
+        "report_summary": figures + " SELECT * EXCLUDE (ns) FROM fig",
+        "report_architecture": go("SELECT *, coalesce(risk_level, 'LOW') AS risk FROM fs", "in_degree DESC, path", 15, "path, in_degree, risk"),
+        "report_core": go("SELECT *, coalesce(risk_level, '?') AS risk FROM fs WHERE in_degree > 0", "in_degree DESC, path", 10, "path, in_degree, risk, avg_complexity"),
+        "report_relationships": go(f"{near} WHERE in_degree > 0", "in_degree DESC, path", 6, f"path, in_degree, {head('uses', 6)}, {head('users', 6)}, greatest(coalesce(len(users), 0) - 6, 0) AS more_users"),
+        "report_impact": go(f"{near} WHERE in_degree > 0", "in_degree DESC, path", 8, f"path, risk, in_degree, {head('users', 7)}, greatest(coalesce(len(users), 0) - 7, 0) AS more_users"),
+        "report_high_risk": go("SELECT sc.repo, sc.path, sc.risk_level, m_ AS max_complexity, coupling, coalesce(in_degree, 0) AS in_degree FROM sc LEFT JOIN deg ON node = file_id WHERE risk_level IN ('CRITICAL', 'HIGH')", "risk_level, max_complexity DESC, path", 15, "path, risk_level, max_complexity, coupling, in_degree"),
+        "report_critical": go("SELECT *, m_ AS max_complexity, a AS avg_complexity, array_to_string(list_filter([CASE WHEN pe THEN 'does not parse' END, CASE WHEN cy THEN 'in a cycle' END, CASE WHEN m_ >= 21 THEN 'complexity ' || CAST(m_ AS INT) END], lambda x: x IS NOT NULL), ', ') AS notes FROM sc WHERE risk_level = 'CRITICAL'", "max_complexity DESC, path", 15, "path, max_complexity, avg_complexity, coupling, notes"),
+        "report_parse_errors": go("SELECT repo, path FROM sc WHERE pe", "path", 10, "path"),
+        "report_complex_functions": go("SELECT fs.repo, fs.path, function, complexity, ord FROM fr JOIN fs USING (file_id) WHERE complexity >= 10", "complexity DESC, path, ord, function", 20, "path, function, complexity"),
+        "report_cycles": go("SELECT *, greatest(count(*) OVER (PARTITION BY repo) - 10, 0) AS more FROM pair", "chain, key", 10, "chain, 2 AS length, more"),
+        "report_reading": go("SELECT fs.repo, fs.path, level, coalesce(risk_level, 'LOW') AS risk, greatest(count(*) OVER (PARTITION BY fs.repo) - 25, 0) AS more FROM od JOIN fs ON file_id = node", "level DESC, path", 25, "path, risk, more"),
+        "report_safe": go("SELECT sc.repo, sc.path, a AS avg_complexity, coupling, in_degree, out_degree FROM sc JOIN deg ON node = file_id WHERE risk_level = 'LOW' AND NOT pe", "in_degree, out_degree, path", 10, "path, avg_complexity, coupling, in_degree"),
+        "report_domain": go("SELECT c.file_id, c.repo, c.path, i AS ord, classes[i].name AS name, len(classes[i].method_names) AS n_methods, coalesce(in_degree, 0) AS in_degree FROM (SELECT *, unnest(range(1, len(classes) + 1)) AS i FROM (SELECT DISTINCT ON (file_id) * FROM symbols)) c LEFT JOIN deg ON node = c.file_id", "in_degree DESC, path, ord", 15, "path, name, n_methods, in_degree"),
+        "report_components": f"""WITH RECURSIVE {rf}, y AS (SELECT x.*, explanation, row_number() OVER (PARTITION BY repo ORDER BY in_degree DESC, path) AS byu FROM ({near}) x LEFT JOIN ex USING (file_id)),
+            z AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY explanation IS NULL, in_degree DESC, path) AS position FROM y WHERE explanation IS NOT NULL OR byu <= 15 AND in_degree > 0) SELECT repo, position, path, risk, in_degree, avg_complexity, {head('uses', 6)}, {head('users', 6)}, {said(2)} AS teaser FROM z""",
+        "report_explained": go(f"SELECT x.*, explanation, coalesce(risk_level, 'LOW') AS lv FROM ({near}) x JOIN ex USING (file_id)", "in_degree DESC, path", 2**31, f"path, 'exp-' || translate(lower(short), '/._', '---') AS anchor, {said(1)} AS one_line, lv AS risk, in_degree, {head('uses', 6)}, {head('users', 6)}, CASE WHEN lv IN ('CRITICAL', 'HIGH') THEN trim(explanation) ELSE {said(2)} END AS text"),
+        "report_entry_points": f"""WITH RECURSIVE {rf}, x AS (SELECT fs.*, level, coalesce(risk_level, '?') AS risk, CASE WHEN in_degree = 0 AND out_degree > 0 THEN 0 WHEN in_degree = 0 AND level IS NOT NULL THEN 1 WHEN out_degree > 0 THEN 2 END AS kind FROM fs LEFT JOIN od ON node = file_id),
+            y AS (SELECT *, min(kind) OVER (PARTITION BY repo) AS best FROM x WHERE kind IS NOT NULL), z AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN kind = 1 THEN -level ELSE -out_degree END, path) AS position FROM y WHERE kind = best OR best = 2 AND out_degree > 0)
+            SELECT repo, position, path, out_degree, risk FROM z WHERE position <= 10 AND (kind = 0 OR position <= 5)""",
+        "api_result": figures + """, b1 AS (SELECT repo, coalesce(max(default_branch), 'main') AS branch FROM repos GROUP BY 1), p1 AS (SELECT repo, array_to_string((list(path ORDER BY in_degree DESC, path))[:10], ',') AS top_paths FROM fs GROUP BY 1),
+            f1 AS (SELECT fs.repo, least(count(*), 10) AS n, (list(function ORDER BY complexity DESC, path, ord, function))[1] AS worst FROM fr JOIN fs USING (file_id) GROUP BY 1), o1 AS (SELECT repo, least(count(*), 10) AS n FROM od JOIN man ON file_id = node GROUP BY 1)
+            SELECT fig.repo, branch, files_discovered, files_analyzed, mode, n_functions, n_classes, n_edges, n_cycles, critical, high, medium, low, least(n_nodes, 10) AS n_top_files, least(n_nodes, 10) AS n_dependency_rows, critical + high AS n_critical_and_high, ns AS n_complexity_rows, coalesce(f1.n, 0) AS n_top_complex_functions, coalesce(o1.n, 0) AS n_reading_order, n_cycles AS n_circular_deps, top_paths, worst AS worst_function
+            FROM fig LEFT JOIN b1 USING (repo) LEFT JOIN p1 USING (repo) LEFT JOIN f1 USING (repo) LEFT JOIN o1 USING (repo)""",
+    }
+    # graphs of files with cycles, by closure
+    fr_ = f"{flinks}, fr0 AS (SELECT src, dst FROM fl UNION SELECT r.src, fl.dst FROM fr0 r JOIN fl ON r.dst = fl.src), fci AS (SELECT DISTINCT src AS node FROM fr0 WHERE src = dst)"
+    o |= {
+        "file_circular_nodes": f"WITH RECURSIVE {fr_} SELECT node FROM fci",
+        "file_graph_summary": f"WITH RECURSIVE {fr_} SELECT (SELECT count(*) FROM man) AS n_nodes, (SELECT count(*) FROM fl) AS n_edges, (SELECT count(*) FROM fci) AS n_circular",
+        "file_components": f"WITH RECURSIVE {fr_}, cc AS (SELECT a.src AS node, min(a.dst) AS m FROM fr0 a JOIN fr0 b ON a.src = b.dst AND a.dst = b.src GROUP BY 1) SELECT file_id AS node, least(file_id, coalesce(m, file_id)) AS component FROM man LEFT JOIN cc ON node = file_id",
+        "file_node_style": f"WITH RECURSIVE {fr_} SELECT file_id AS node, CASE WHEN file_id IN (SELECT node FROM fci) THEN 'red' WHEN d >= 6 THEN 'orange' WHEN d >= 3 THEN 'yellow' WHEN d >= 1 THEN 'green' ELSE 'blue' END AS color, least(45, 12 + 4 * d) AS size FROM (SELECT file_id, coalesce(in_degree, 0) AS d FROM man LEFT JOIN flin ON flin.node = file_id)",
+        "context_text": f"""WITH {budget}, pc AS (SELECT repo, file_path, position, fate, CASE fate WHEN 'full' THEN content WHEN 'cut' THEN substr(content, 1, CAST({X.BUDGET} - (used - n_chars) AS BIGINT)) || '{X.CUT.replace(chr(10), "' || chr(10) || '")}' END AS piece FROM b3),
+            g1 AS (SELECT repo, file_path, string_agg(piece, chr(10) || chr(10) ORDER BY position) AS body, count(*) FILTER (fate = 'dropped') AS n_dropped FROM pc GROUP BY 1, 2)
+            SELECT repo, file_path, length(coalesce(body, '') || CASE WHEN n_dropped > 0 THEN chr(10) || chr(10) || '# ... ' || n_dropped || ' more chunks are not shown' ELSE '' END) AS n_chars, n_dropped FROM g1""",
+    }
+    # a converged rank is that of many rounds: one matrix of all moves, applied 120 times
+    o["pagerank"] = f"""WITH RECURSIVE {trade_}, dg AS (SELECT src, count(*) AS k FROM tr GROUP BY 1), nn AS (SELECT count(*) AS n FROM nd),
+        mv AS (SELECT a.node AS src, b.node AS dst, 0.15 / n + 0.85 * CASE WHEN dg.k IS NULL THEN 1.0 / n WHEN tr.dst IS NOT NULL THEN 1.0 / dg.k ELSE 0 END AS w FROM nd a, nd b, nn LEFT JOIN dg ON dg.src = a.node LEFT JOIN tr ON tr.src = a.node AND tr.dst = b.node),
+        pr AS (SELECT 0 AS i, node, CAST(1.0 / n AS DOUBLE) AS r FROM nd, nn UNION ALL SELECT pr.i + 1, mv.dst, sum(pr.r * mv.w) FROM pr JOIN mv ON mv.src = pr.node WHERE pr.i < 120 GROUP BY 1, 2) SELECT node, round(r, 4) AS pagerank FROM pr WHERE i = 120"""
     o.pop("make_chunks")
     return o
 
