@@ -93,8 +93,8 @@ def sentences(text: Column, n: int) -> Column:
 
 
 def lines_between(content: Column, start: Column, end: Column) -> Column:
-    """Lines start to end, from 1 and inclusive, clamped, with outer white space stripped."""
-    lines = F.split(content, "\n")
+    """Lines start to end, from 1 and inclusive, clamped, with outer white space stripped; lines end in a line feed alone."""
+    lines = F.split(content, "\r?\n")
     first = F.greatest(start, F.lit(1))
     return stripped(F.array_join(F.slice(lines, first, F.greatest(F.least(end, F.size(lines)) - first + 1, F.lit(0))), "\n"))
 

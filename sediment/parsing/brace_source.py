@@ -14,6 +14,11 @@ from .python_source import Symbols, empty
 _TOKEN = re.compile(
     r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z_$#][\w$]*|\d[\w.]*|=>|->|::|\.\.\.|&&|\|\||\?\?|\?\.|:=|<-|[-+*/%=!<>&|^]=|\S"""
 )
+#: A template literal with substitutions that may hold braces and plain templates, and a regular expression where an expression begins.
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*\})*`"
+_REGEX = r"(?:(?<=[(,=:\[!&|?{;~^>])|(?<=[(,=:\[!&|?{;~^>] )|(?<=[(,=:\[!&|?{;~^>]\n)|(?<=return ))/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
+_JS_TOKEN = re.compile(rf"//[^\n]*|/\*[\s\S]*?\*/|{_REGEX}|{_TEMPLATE}|" + _TOKEN.pattern)
+_DIRECTIVE = re.compile(r"^[ \t]*#(?:(?!\*/)[^\n\\]|\\[\s\S])*", re.M)
 _RUST_LIFE = re.compile(r"'[A-Za-z_]\w*(?!')")
 #: Words and signs that add a branch, by language.
 BRANCHES = {
@@ -32,7 +37,9 @@ class Tokens:
     """Tokens without comments, their lines, and the partner of each bracket."""
 
     def __init__(self, text: str, language: str):
-        pattern = _TOKEN
+        if language in ("C", "C++"):
+            text = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        pattern = _JS_TOKEN if language in ("JavaScript", "TypeScript") else _TOKEN
         if language == "Rust":
             text = _RUST_LIFE.sub(lambda m: " " * len(m[0]), text)
         self.text, self.at = [], []
@@ -196,7 +203,7 @@ def _methods(t: Tokens, body: int, out: Symbols, language: str) -> list[str]:
     names, i, stop = [], body + 1, t.partner.get(body, len(t.text))
     while i < stop:
         x = t.text[i]
-        if re.match(r"[A-Za-z_$#]", x) and i + 1 < stop and t.text[i + 1] == "(" and x not in _KEYWORDS and i + 1 in t.partner:
+        if re.match(r"[A-Za-z_$#]", x) and i + 1 < stop and t.text[i + 1] == "(" and x not in _KEYWORDS and i + 1 in t.partner and t.text[i - 1] != "@":
             brace = _skip(t, t.partner[i + 1] + 1, ("{", ";", "}"))
             if brace < stop and t.text[brace] == "{":
                 names.append(x)

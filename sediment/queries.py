@@ -242,6 +242,7 @@ def queries() -> dict[str, Query]:
         "safe_files": lambda s, d: C.safe_files(scored(s, d), node_degrees(s, d)),
         "complexity_json": lambda s, d: sinks.complexity_json(scored(s, d)),
         # chunks, search, context
+        "make_code_chunks": lambda s, d: known_chunks(s, d).where("symbol_type <> 'module'").select("file_id", "chunk_id", "line_start", "line_end", F.sha2("content", 256).alias("content_sha")),
         "make_chunks": lambda s, d: K.make_chunks(t(s, d, "contents"), t(s, d, "symbols")).select("chunk_id", "file_id", "symbol_type", "line_start", "line_end", F.sha2("content", 256).alias("content_sha")),
         "chunk_stats": lambda s, d: K.stats(t(s, d, "chunks")),
         "chunk_sentinels": lambda s, d: K.to_sentinels(t(s, d, "chunks").dropDuplicates(["chunk_no"])).select("chunk_no", "complexity", "risk_level"),
@@ -294,12 +295,42 @@ def queries() -> dict[str, Query]:
         "api_result": lambda s, d: api_sizes(N.api_result(facts(s, d))),
         "api_json": lambda s, d: N.api_json(facts(s, d)).select("repo", F.sha2("json", 256).alias("json_sha"), F.length("json").alias("n_chars")),
         # parsing
+        "parse_functions": parsed_functions,
+        "parse_classes": parsed_classes,
+        "parse_imports": parsed_imports,
         "parse_symbols": lambda s, d: P.parse_files(t(s, d, "contents")).select("file_id", "language", F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"), "parse_error"),
         "parse_complexity": lambda s, d: P.function_complexity(P.parse_files(t(s, d, "contents"))).select("file_id", "function", "complexity"),
     }
     return q
 
 
+def chunked_files(s: SparkSession, d: str) -> DataFrame:
+    """Files that have chunks, which are those of three languages that parse."""
+    return t(s, d, "chunks").select("file_id").distinct()
+
+
+def known_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks made anew of the files that have chunks; flags of parse errors are stale in part, so they are set by that."""
+    symbols = t(s, d, "symbols").join(chunked_files(s, d), "file_id", "left_semi").withColumn("parse_error", F.lit(False))
+    return K.make_chunks(t(s, d, "contents"), symbols)
+
+
+def parsed_functions(s: SparkSession, d: str) -> DataFrame:
+    """Functions found by parsing, of the files that have chunks."""
+    parsed = P.parse_files(t(s, d, "contents")).join(chunked_files(s, d), "file_id", "left_semi")
+    return parsed.select("file_id", F.explode("functions").alias("f")).select("file_id", "f.name", "f.line_start", "f.line_end").distinct()
+
+
+def parsed_classes(s: SparkSession, d: str) -> DataFrame:
+    parsed = P.parse_files(t(s, d, "contents")).join(chunked_files(s, d), "file_id", "left_semi")
+    return parsed.select("file_id", F.explode("classes").alias("c")).select("file_id", "c.name", "c.line_start", F.array_join("c.bases", ",").alias("bases"), F.array_join("c.method_names", ",").alias("methods")).distinct()
+
+
+def parsed_imports(s: SparkSession, d: str) -> DataFrame:
+    parsed = P.parse_files(t(s, d, "contents")).join(chunked_files(s, d), "file_id", "left_semi")
+    return parsed.select("file_id", F.explode("imports").alias("i")).select("file_id", "i.module", F.array_join("i.names", ",").alias("names"), "i.is_from_import").distinct()
+
+
 def flat(rows: DataFrame, *arrays: str) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, ",") for c in arrays})
 
@@ -519,6 +550,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT fig.repo, branch, files_discovered, files_analyzed, mode, n_functions, n_classes, n_edges, n_cycles, critical, high, medium, low, least(n_nodes, 10) AS n_top_files, least(n_nodes, 10) AS n_dependency_rows, critical + high AS n_critical_and_high, ns AS n_complexity_rows, coalesce(f1.n, 0) AS n_top_complex_functions, coalesce(o1.n, 0) AS n_reading_order, n_cycles AS n_circular_deps, top_paths, worst AS worst_function
             FROM fig LEFT JOIN b1 USING (repo) LEFT JOIN p1 USING (repo) LEFT JOIN f1 USING (repo) LEFT JOIN o1 USING (repo)""",
     }
+    known = "ks AS (SELECT DISTINCT ON (file_id) * FROM symbols WHERE file_id IN (SELECT file_id FROM chunks))"
+    o |= {
+        "make_code_chunks": "SELECT DISTINCT file_id, chunk_id, line_start, line_end, sha256(content) AS content_sha FROM chunks WHERE symbol_type <> 'module'",
+        "parse_functions": f"WITH {known}, x AS (SELECT file_id, unnest(functions) AS f FROM ks) SELECT DISTINCT file_id, f.name AS name, f.line_start AS line_start, f.line_end AS line_end FROM x",
+        "parse_classes": f"WITH {known}, x AS (SELECT file_id, unnest(classes) AS c FROM ks) SELECT DISTINCT file_id, c.name AS name, c.line_start AS line_start, array_to_string(c.bases, ',') AS bases, array_to_string(c.method_names, ',') AS methods FROM x",
+        "parse_imports": f"WITH {known}, x AS (SELECT file_id, unnest(imports) AS i FROM ks) SELECT DISTINCT file_id, i.module AS module, array_to_string(i.names, ',') AS names, i.is_from_import AS is_from_import FROM x",
+    }
     # graphs of files with cycles, by closure
     fr_ = f"{flinks}, fr0 AS (SELECT src, dst FROM fl UNION SELECT r.src, fl.dst FROM fr0 r JOIN fl ON r.dst = fl.src), fci AS (SELECT DISTINCT src AS node FROM fr0 WHERE src = dst)"
     o |= {
