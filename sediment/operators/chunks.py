@@ -11,11 +11,14 @@ from ..functions import scalar as S
 CLASS_LINES = 16
 
 
-def make_chunks(contents: DataFrame, symbols: DataFrame, languages: tuple[str, ...] = CHUNKABLE) -> DataFrame:
+def make_chunks(contents: DataFrame, symbols: DataFrame, languages: tuple[str, ...] = CHUNKABLE, analyzed: DataFrame | None = None) -> DataFrame:
     """chunk_id, file_id, repo, file_path, symbol_name, symbol_type, language, line_start, line_end, content.
 
-    Files without content, that do not parse or are of other languages have no chunks.
+    Files without content, that do not parse or are of other languages have no chunks; with analyzed(file_id) only these have.
+    A file's texts meet its symbols on file_id; of texts delivered twice one is taken as they meet, so only one exchange moves them.
     """
+    if analyzed is not None:
+        symbols = symbols.join(analyzed.select("file_id"), "file_id", "left_semi")
     text = contents.select("file_id", "content").where("content IS NOT NULL AND content <> ''").dropDuplicates(["file_id"])
     sym = symbols.dropDuplicates(["file_id"]).withColumn("language", S.language(F.col("path"))).where(F.col("language").isin(*languages) & ~F.coalesce("parse_error", F.lit(False)))
     rows = text.join(sym.select("file_id", "repo", "path", "language", "module_docstring", "functions", "classes", "imports").hint("shuffle_hash"), "file_id")

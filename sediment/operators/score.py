@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Risk
+from ..config import PARSEABLE, Risk
 
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
@@ -46,15 +46,19 @@ def risk(risk: Risk | None = None, **columns: Column) -> tuple[Column, Column]:
     return level, F.when(any_of("CRITICAL"), said("CRITICAL")).when(any_of("HIGH"), said("HIGH")).when(any_of("MEDIUM"), said("MEDIUM")).otherwise(none)
 
 
-def scores(manifest: DataFrame, counts: DataFrame, complexity: DataFrame, coupling: DataFrame, circular: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row per file of the manifest with lines: statistics, risk level and reasons.
+def scores(manifest: DataFrame, counts: DataFrame, complexity: DataFrame, coupling: DataFrame, circular: DataFrame, errors: DataFrame, analyzed: DataFrame | None = None) -> DataFrame:
+    """One row per file of the manifest with lines, in a language that is scored: statistics, risk level and reasons.
 
     counts: file_counts of the symbols; coupling(file_id, coupling); circular(file_id); errors(file_id, parse_error).
+    A file that the graph lacks is coupled by the number of its internal imports.  analyzed(file_id): only these are scored.
     """
-    rows = manifest.select("file_id", "repo", "path", "language", "n_lines").join(counts.select("file_id", "n_functions", "n_classes", "avg_function_lines", "n_undocumented", "undocumented_ratio"), "file_id").join(complexity, "file_id", "left").join(coupling, "file_id", "left").join(circular.select("file_id").distinct().withColumn("in_cycle", F.lit(True)), "file_id", "left").join(errors, "file_id", "left")
-    rows = rows.withColumns({"avg_complexity": F.coalesce("avg_complexity", F.lit(0.0)), "max_complexity": F.coalesce("max_complexity", F.lit(0.0)), "coupling": F.coalesce("coupling", F.lit(0)), "in_cycle": F.coalesce("in_cycle", F.lit(False)), "parse_error": F.coalesce("parse_error", F.lit(False))})
+    manifest = manifest.where(F.col("language").isin(*PARSEABLE))
+    if analyzed is not None:
+        manifest = manifest.join(analyzed.select("file_id"), "file_id", "left_semi")
+    rows = manifest.select("file_id", "repo", "path", "language", "n_lines").join(counts.select("file_id", "n_functions", "n_classes", "avg_function_lines", "n_undocumented", "undocumented_ratio", "n_internal_imports"), "file_id").join(complexity, "file_id", "left").join(coupling, "file_id", "left").join(circular.select("file_id").distinct().withColumn("in_cycle", F.lit(True)), "file_id", "left").join(errors, "file_id", "left")
+    rows = rows.withColumns({"avg_complexity": F.coalesce("avg_complexity", F.lit(0.0)), "max_complexity": F.coalesce("max_complexity", F.lit(0.0)), "coupling": F.coalesce("coupling", "n_internal_imports"), "in_cycle": F.coalesce("in_cycle", F.lit(False)), "parse_error": F.coalesce("parse_error", F.lit(False))})
     level, reasons = risk(avg=F.col("avg_complexity"), max=F.col("max_complexity"), undocumented=F.col("undocumented_ratio"), lines=F.col("n_lines"))
-    return rows.withColumn("risk_level", level).withColumn("risk_reasons", reasons)
+    return rows.withColumn("risk_level", level).withColumn("risk_reasons", reasons).drop("n_internal_imports")
 
 
 def risk_distribution(scored: DataFrame) -> DataFrame:

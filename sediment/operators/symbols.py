@@ -47,5 +47,5 @@ def file_counts(symbols: DataFrame) -> DataFrame:
     n = F.when(fs.isNull(), 0).otherwise(F.size(fs))
     lines = F.aggregate(F.transform(fs, lambda f: (f["line_end"] - f["line_start"] + 1).cast("double")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     bare = F.size(F.filter(fs, lambda f: F.coalesce(f["docstring"], F.lit("")) == ""))
-    rows = tables(symbols).select("file_id", "repo", "path", n.alias("n_functions"), F.when(F.col("classes").isNull(), 0).otherwise(F.size("classes")).alias("n_classes"), lines.alias("lines"), F.when(fs.isNull(), 0).otherwise(bare).alias("n_undocumented"))
-    return rows.select("file_id", "repo", "path", "n_functions", "n_classes", (F.col("n_functions") + F.col("n_classes")).alias("n_symbols"), F.round(F.coalesce(F.try_divide("lines", "n_functions"), F.lit(0.0)), 1).alias("avg_function_lines"), "n_undocumented", F.round(F.coalesce(F.try_divide("n_undocumented", "n_functions"), F.lit(0.0)), 3).alias("undocumented_ratio"))
+    rows = tables(symbols).select("file_id", "repo", "path", n.alias("n_functions"), F.when(F.col("classes").isNull(), 0).otherwise(F.size("classes")).alias("n_classes"), lines.alias("lines"), F.when(fs.isNull(), 0).otherwise(bare).alias("n_undocumented"), F.coalesce(F.size(F.filter("imports", lambda i: i["is_internal"])), F.lit(0)).alias("n_internal_imports"))
+    return rows.select("file_id", "repo", "path", "n_functions", "n_classes", (F.col("n_functions") + F.col("n_classes")).alias("n_symbols"), F.round(F.coalesce(F.try_divide("lines", "n_functions"), F.lit(0.0)), 1).alias("avg_function_lines"), "n_undocumented", F.round(F.coalesce(F.try_divide("n_undocumented", "n_functions"), F.lit(0.0)), 3).alias("undocumented_ratio"), "n_internal_imports")

@@ -557,6 +557,18 @@ def oracle_sql() -> dict[str, str]:
         "parse_classes": f"WITH {known}, x AS (SELECT file_id, unnest(classes) AS c FROM ks) SELECT DISTINCT file_id, c.name AS name, c.line_start AS line_start, array_to_string(c.bases, ',') AS bases, array_to_string(c.method_names, ',') AS methods FROM x",
         "parse_imports": f"WITH {known}, x AS (SELECT file_id, unnest(imports) AS i FROM ks) SELECT DISTINCT file_id, i.module AS module, array_to_string(i.names, ',') AS names, i.is_from_import AS is_from_import FROM x",
     }
+    cands = f"""{imp}, x AS (SELECT file_id, repo, path, ord, i.module AS m, i.names AS ns, i.is_internal AS inside, {lang} AS language, string_split(path, '/')[:-2] AS here, length(regexp_extract(i.module, '^(\\.*)', 1)) AS dots FROM im),
+        y AS (SELECT *, replace(substr(m, dots + 1), '.', '/') AS rest, here[:greatest(len(here) - (dots - 1), 0)] AS up FROM x WHERE language IN ('Python', 'JavaScript', 'TypeScript')),
+        z AS (SELECT file_id, ord, repo, unnest(range(0, len(string_split(m, ',')))) AS part, string_split(m, ',') AS ms, NULL AS target0, 0 AS base FROM y WHERE language = 'Python' AND dots = 0
+            UNION ALL SELECT file_id, ord, repo, 0, NULL, array_to_string(list_append(up, rest), '/'), 0 FROM y WHERE language = 'Python' AND dots > 0 AND rest <> '' UNION ALL SELECT file_id, ord, repo, 0, NULL, array_to_string(list_append(up[:-2], rest), '/'), {len(V.PY_ENDINGS)} FROM y WHERE language = 'Python' AND dots > 0 AND rest <> ''
+            UNION ALL SELECT file_id, ord, repo, unnest(range(0, len(k))), list_transform(k, lambda n: array_to_string(list_append(up, n), '/')), NULL, 0 FROM (SELECT *, list_filter(ns, lambda n: n <> '*') AS k FROM y WHERE language = 'Python' AND dots > 0 AND rest = '')),
+        ca AS (SELECT file_id, ord, repo, part, base + e - 1 AS pref, coalesce(target0, CASE WHEN ms[part + 1] LIKE '%/%' THEN ms[part + 1] ELSE replace(trim(ms[part + 1]), '.', '/') END) || {ends(V.PY_ENDINGS)}[e] AS target FROM z, range(1, {len(V.PY_ENDINGS) + 1}) q(e)
+            UNION ALL SELECT file_id, ord, repo, 0, e - 1, array_to_string(list_append(here, substr(m, 3)), '/') || {ends(V.JS_ENDINGS)}[e] FROM y, range(1, {len(V.JS_ENDINGS) + 1}) q(e) WHERE language <> 'Python' AND starts_with(m, './'))"""
+    o |= {
+        "import_candidates": f"WITH {cands} SELECT file_id, ord, CAST(part AS INT) AS part, CAST(pref AS INT) AS pref, target FROM ca",
+        "import_edges_given": f"WITH {man}, {cands}, h AS (SELECT file_id, ord, part, ca.repo, arg_min(target, pref) AS target FROM ca JOIN man m USING (file_id) JOIN man t ON t.repo = ca.repo AND t.path = ca.target GROUP BY 1, 2, 3, 4) SELECT DISTINCT h.repo, m.path AS src, target AS dst FROM h JOIN man m USING (file_id) WHERE m.path <> target",
+        "import_unresolved": f"WITH {man}, {cands}, h AS (SELECT DISTINCT ca.file_id, ca.ord FROM ca JOIN man t ON t.repo = ca.repo AND t.path = ca.target) SELECT repo, count(*) AS n_unresolved FROM x WHERE inside AND NOT EXISTS (SELECT 1 FROM h WHERE h.file_id = x.file_id AND h.ord = x.ord) GROUP BY 1",
+    }
     # graphs of files with cycles, by closure
     fr_ = f"{flinks}, fr0 AS (SELECT src, dst FROM fl UNION SELECT r.src, fl.dst FROM fr0 r JOIN fl ON r.dst = fl.src), fci AS (SELECT DISTINCT src AS node FROM fr0 WHERE src = dst)"
     o |= {

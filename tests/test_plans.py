@@ -136,3 +136,26 @@ def test_chunk_store(spark, tmp_path):
     assert sinks.open_store(spark, place).count() == 3
     assert json.loads(sinks.store_info(chunks, "j1").where("repo = 'o/r'").first()["json"])["n_chunks"] == 2
     assert sinks.drop_store(spark, place) and not sinks.drop_store(spark, place)
+
+
+def test_sampled_mode_restricts_scores_and_chunks(spark, monkeypatch):
+    from sediment.config import Limits
+    from sediment.plans import session
+
+    monkeypatch.setattr(session, "SAMPLE", 2)
+    files = spark.createDataFrame([(i, "o/big", f"p/m{i}.py", 10, "s") for i in range(5)] + [(9, "o/small", "a.py", 10, "s")], "file_id bigint, repo string, path string, size_bytes bigint, sha string")
+    contents = spark.createDataFrame([(i, "o/big", f"p/m{i}.py", "from .m0 import f\n\ndef f():\n    return 1\n") for i in range(5)] + [(9, "o/small", "a.py", "def g():\n    return 2\n")], "file_id bigint, repo string, path string, content string")
+    a = Analysis(spark, files, contents, limits=Limits(full=2, warning=3, sampled=10))
+    assert {r[0] for r in a.scores.select("file_id").collect()} == {0, 1, 9} and {r[0] for r in a.chunks.select("file_id").distinct().collect()} == {0, 1, 9}
+    assert Analysis(spark, files, contents).analyzed is None
+
+
+def test_documents_and_results(spark, analysis):
+    f = analysis.facts(explanations=spark.createDataFrame([(2, "It gives back. Twice. And more.")], "file_id bigint, explanation string"))
+    row = analysis.results("j1", f).first()
+    body = json.loads(row["json"])
+    assert body["job_id"] == "j1" and body["branch"] == "main" and body["summary"]["total_import_edges"] == 1 and body["summary"]["files_explained"] == 1
+    assert body["reading_order"] == ["p/b.py", "p/a.py"] and body["graph_summary"]["top_files_by_indegree"][0]["path"] == "p/b.py"
+    assert "p/b.py: imported by 1" in row["onboarding"] and "It gives back. Twice." in row["file_explanations"] and "And more" not in row["file_explanations"]
+    assert row["agent_context"].index("## Overview") < row["agent_context"].index("## Entry points") and "p/a.py: imports 1" in row["agent_context"]
+    assert all(len(v) == 2 for v in analysis.smoke().values())
