@@ -298,3 +298,22 @@ def api_json(f: Facts, job: str = "") -> DataFrame:
     top = F.struct(F.col("files_analyzed").alias("total_files"), "files_discovered", "files_analyzed", F.col("mode").alias("analysis_mode"), "language_breakdown", F.col("n_functions").alias("total_functions"), F.col("n_classes").alias("total_classes"), F.col("n_edges").alias("total_import_edges"), F.col("n_cycles").alias("circular_dep_count"), counts.alias("risk_distribution"), F.greatest(n(F.map_keys("explanations")), F.lit(0)).alias("files_explained"), "top_complex_functions")
     body = F.struct(F.lit(job).alias("job_id"), "repo", "branch", top.alias("summary"), F.struct("critical_and_high", "circular_deps").alias("complexity_report"), F.struct(F.col("top_files").alias("top_files_by_indegree"), (F.greatest(n("reading_order"), F.lit(0)) > 0).alias("topological_order_available"), F.col("reading_order").alias("reading_order_top_10")).alias("graph_summary"), "explanations", "dependency_rows", "reading_order", "complexity_rows", "circular_deps")
     return r.select("repo", F.to_json(body).alias("json"))
+
+
+def graph_json(f: Facts) -> DataFrame:
+    """repo, json: numbers of nodes and edges, cycles, reading order and the degrees of every file."""
+    nodes = f.nodes.join(f.degrees, "file_id").groupBy("repo").agg(F.count("*").alias("n_nodes"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.struct("in_degree", "out_degree"))))).alias("files"))
+    edges = _counted(f.edges.join(f.nodes.select(F.col("file_id").alias("src"), "repo"), "src")).withColumnRenamed("n", "n_edges")
+    ring = f.cycles.withColumn("id", F.xxhash64("nodes")).select("id", F.posexplode("nodes").alias("at", "file_id")).join(f.nodes, "file_id").groupBy("repo", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("nodes")).groupBy("repo").agg(F.sort_array(F.collect_list("nodes")).alias("cycles"))
+    order = f.order.join(f.nodes, "file_id").groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("k"), "path"))), lambda x: x["path"]).alias("order"))
+    rows = nodes.join(edges, "repo", "left").join(ring, "repo", "left").join(order, "repo", "left")
+    return rows.select("repo", F.to_json(F.struct("n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "cycles", "order", "files")).alias("json"))
+
+
+def complexity_json(f: Facts, k: int = 10) -> DataFrame:
+    """repo, json: files of each risk level, the mean complexity, the most complex functions, and the files by level, the most complex first."""
+    dist = C.risk_distribution(f.scored).groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("risk_level", "n_files")))).alias("risk_distribution"))
+    top = first(f.functions.join(f.nodes, "file_id"), k, F.desc("complexity"), "path", "ord", "function").groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "path", "function", "complexity"))), lambda x: x.dropFields("position")).alias("top_functions"))
+    row = F.struct((-F.col("max_complexity")).alias("o"), "path", "avg_complexity", "max_complexity", "worst_function", "coupling", "risk_reasons")
+    by = f.scored.groupBy("repo", "risk_level").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x.dropFields("o")).alias("files")).groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("risk_level", "files")))).alias("by_risk"))
+    return dist.join(C.repo_mean(f.scored), "repo").join(top, "repo", "left").join(by, "repo").select("repo", F.to_json(F.struct("risk_distribution", "mean_complexity", "top_functions", "by_risk")).alias("json"))

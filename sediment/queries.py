@@ -289,6 +289,8 @@ def queries() -> dict[str, Query]:
         "report_safe": lambda s, d: N.safe(facts(s, d)),
         "report_explained": lambda s, d: flat(N.explained(facts(s, d)), "uses", "users").select("repo", "position", "path", "anchor", "one_line", "risk", "in_degree", "uses", "users", "text"),
         "report_explanations_json": lambda s, d: N.explanations_json(facts(s, d)),
+        "report_graph_json": lambda s, d: N.graph_json(facts(s, d)).select("repo", F.get_json_object("json", "$.n_nodes").cast("bigint").alias("n_nodes"), F.get_json_object("json", "$.n_edges").cast("bigint").alias("n_edges"), F.json_array_length(F.get_json_object("json", "$.cycles")).alias("n_cycles")),
+        "report_complexity_json": lambda s, d: N.complexity_json(facts(s, d)).select("repo", F.get_json_object("json", "$.mean_complexity").cast("double").alias("mean_complexity"), F.get_json_object("json", "$.risk_distribution.CRITICAL").cast("bigint").alias("critical"), F.get_json_object("json", "$.top_functions[0].function").alias("worst_function")),
         "report_onboarding": lambda s, d: documented(s, d, N.onboarding),
         "report_agent_context": lambda s, d: documented(s, d, N.agent_context),
         "report_file_explanations": lambda s, d: documented(s, d, N.file_explanations),
@@ -545,6 +547,9 @@ def oracle_sql() -> dict[str, str]:
         "report_entry_points": f"""WITH RECURSIVE {rf}, x AS (SELECT fs.*, level, coalesce(risk_level, '?') AS risk, CASE WHEN in_degree = 0 AND out_degree > 0 THEN 0 WHEN in_degree = 0 AND level IS NOT NULL THEN 1 WHEN out_degree > 0 THEN 2 END AS kind FROM fs LEFT JOIN od ON node = file_id),
             y AS (SELECT *, min(kind) OVER (PARTITION BY repo) AS best FROM x WHERE kind IS NOT NULL), z AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN kind = 1 THEN -level ELSE -out_degree END, path) AS position FROM y WHERE kind = best OR best = 2 AND out_degree > 0)
             SELECT repo, position, path, out_degree, risk FROM z WHERE position <= 10 AND (kind = 0 OR position <= 5)""",
+        "report_graph_json": figures + " SELECT repo, n_nodes, n_edges, CASE WHEN n_cycles > 0 THEN CAST(n_cycles AS INT) END AS n_cycles FROM fig",
+        "report_complexity_json": figures + """, rm AS (SELECT repo, round(coalesce(sum(CASE WHEN a > 0 THEN CAST(round(a * 100) AS BIGINT) END)::DOUBLE / count(*) FILTER (a > 0), 0) / 100, 2) AS mean_complexity FROM sc GROUP BY 1),
+            f1 AS (SELECT fs.repo, (list(function ORDER BY complexity DESC, path, ord, function))[1] AS worst_function FROM fr JOIN fs USING (file_id) GROUP BY 1) SELECT repo, mean_complexity, critical, worst_function FROM rm JOIN fig USING (repo) LEFT JOIN f1 USING (repo)""",
         "api_result": figures + """, b1 AS (SELECT repo, coalesce(max(default_branch), 'main') AS branch FROM repos GROUP BY 1), p1 AS (SELECT repo, array_to_string((list(path ORDER BY in_degree DESC, path))[:10], ',') AS top_paths FROM fs GROUP BY 1),
             f1 AS (SELECT fs.repo, least(count(*), 10) AS n, (list(function ORDER BY complexity DESC, path, ord, function))[1] AS worst FROM fr JOIN fs USING (file_id) GROUP BY 1), o1 AS (SELECT repo, least(count(*), 10) AS n FROM od JOIN man ON file_id = node GROUP BY 1)
             SELECT fig.repo, branch, files_discovered, files_analyzed, mode, n_functions, n_classes, n_edges, n_cycles, critical, high, medium, low, least(n_nodes, 10) AS n_top_files, least(n_nodes, 10) AS n_dependency_rows, critical + high AS n_critical_and_high, ns AS n_complexity_rows, coalesce(f1.n, 0) AS n_top_complex_functions, coalesce(o1.n, 0) AS n_reading_order, n_cycles AS n_circular_deps, top_paths, worst AS worst_function

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import html
-import json
+import math
+import resource
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -84,22 +85,34 @@ def write_text(text: str, place: str) -> str:
 
 
 def graph_html(nodes: DataFrame, edges: DataFrame, limit: int = 2000) -> str:
-    """A page that draws a graph of at most ``limit`` nodes, by degree; larger graphs show their best connected part."""
+    """A page that draws a graph: nodes on rings, the best connected innermost, coloured and sized by node_style, with all edges
+    between the nodes shown.  A page has at most ``limit`` nodes, those of highest degree, and says how many it leaves out."""
     deg = G.degrees(nodes, edges)
     shown = deg.orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "node").limit(limit)
-    style = {r["node"]: (r["color"], r["size"]) for r in G.node_style(shown, G.circular_nodes(nodes, edges)).collect()}
-    arcs = G.simple(edges).join(shown.select(F.col("node").alias("src")), "src", "left_semi").join(shown.select(F.col("node").alias("dst")), "dst", "left_semi").limit(20 * limit).collect()
-    data = {"nodes": [{"id": str(k), "color": c, "size": s} for k, (c, s) in sorted(style.items(), key=lambda x: str(x[0]))], "edges": [[str(r["src"]), str(r["dst"])] for r in arcs]}
-    items = "".join(f'<li style="color:{html.escape(n["color"])}" title="{n["size"]}">{html.escape(n["id"])}</li>' for n in data["nodes"])
-    payload = json.dumps(data).replace("</", "<\\/")
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><style>li{{font-family:sans-serif}}</style></head><body><ul>{items}</ul><script>const graph = {payload};</script></body></html>"
+    rows = G.node_style(shown, G.circular_nodes(nodes, edges)).join(shown, "node").orderBy(F.desc(F.col("in_degree") + F.col("out_degree")), "node").collect()
+    arcs = G.simple(edges).join(shown.select(F.col("node").alias("src")), "src", "left_semi").join(shown.select(F.col("node").alias("dst")), "dst", "left_semi").orderBy("src", "dst").collect()
+    at, ring, left = {}, 0, list(rows)
+    while left:
+        part, left = left[: max(1, 8 * ring)], left[max(1, 8 * ring) :]
+        for i, r in enumerate(part):
+            angle = 2 * math.pi * i / len(part)
+            at[r["node"]] = (round(90 * ring * math.cos(angle), 1), round(90 * ring * math.sin(angle), 1))
+        ring += 1
+    span = 90 * ring + 60
+    lines = "".join(f'<line x1="{at[e["src"]][0]}" y1="{at[e["src"]][1]}" x2="{at[e["dst"]][0]}" y2="{at[e["dst"]][1]}"/>' for e in arcs)
+    dots = "".join(f'<circle cx="{at[r["node"]][0]}" cy="{at[r["node"]][1]}" r="{r["size"] / 2}" fill="{html.escape(r["color"])}"><title>{html.escape(str(r["node"]))}: imported by {r["in_degree"]}, imports {r["out_degree"]}</title></circle>' for r in rows)
+    rest = deg.count() - len(rows)
+    note = f"<p>{rest} more files are not shown.</p>" if rest else ""
+    style = "<style>line{stroke:#999;stroke-width:0.5}p{font-family:sans-serif}</style>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8">{style}</head><body>{note}<svg xmlns="http://www.w3.org/2000/svg" viewBox="{-span} {-span} {2 * span} {2 * span}">{lines}{dots}</svg></body></html>'
 
 
 @contextmanager
 def phase(name: str, log=print) -> Iterator[None]:
+    """Say when a phase begins, how long it took and how much memory the driver's Python has held at most."""
     start = time.time()
     log(f"{name} begins")
     try:
         yield
     finally:
-        log(f"{name} took {time.time() - start:.1f} s")
+        log(f"{name} took {time.time() - start:.1f} s, at most {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.0f} MB so far")

@@ -86,7 +86,7 @@ def test_sources(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     n = spark.createDataFrame([("a",), ("b",)], "node string")
     e = spark.createDataFrame([("a", "b")], "src string, dst string")
-    assert '"n_edges":1' in sinks.graph_json(n, e).first()["json"] and "graph" in sinks.graph_html(n, e)
+    assert '"n_edges":1' in sinks.graph_json(n, e).first()["json"] and sinks.graph_html(n, e).count("<circle") == 2 and sinks.graph_html(n, e).count("<line ") == 1 and "1 more files are not shown" in sinks.graph_html(n, e, 1)
     assert sinks.write_text("", str(tmp_path / "x.md")) == "" and sinks.write_text("t", str(tmp_path / "x.md")).endswith("x.md")
     assert "not available" in R.document("T", {"S": lambda: 1 / 0}) and "Nothing" in R.markdown(n.limit(0), "N")
 
