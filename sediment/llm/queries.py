@@ -44,13 +44,17 @@ def oracle_sql() -> dict[str, str]:
     shingles = """
       tok AS (SELECT DISTINCT chunk_no, regexp_extract_all(lower(substr(content, instr(content, chr(10)) + 1)), '[a-z0-9_]+') AS w
               FROM chunks WHERE symbol_type = 'function' AND content IS NOT NULL AND instr(content, chr(10)) > 0),
-      sh AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM tok),
+      sh AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM tok)"""
+    pairs = f"""{shingles},
       n AS (SELECT chunk_no, count(*) AS n FROM sh GROUP BY 1),
       both_ AS (SELECT a.chunk_no AS a, b.chunk_no AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.chunk_no < b.chunk_no GROUP BY 1, 2)"""
     return {
-        "p5_found": f"""WITH {shingles}
+        "p5_found": f"""WITH {pairs}
             SELECT a AS chunk_no_a, b AS chunk_no_b FROM both_ JOIN n x ON x.chunk_no = a JOIN n y ON y.chunk_no = b
             WHERE k >= 0.7 * (x.n + y.n - k) - 1e-9""",
+        "p5_classes": f"""WITH {shingles}, k AS (SELECT chunk_no, list(g ORDER BY g) AS gs FROM sh GROUP BY 1), c AS (SELECT gs, min(chunk_no) AS class_id, count(*) AS copies FROM k GROUP BY 1)
+            SELECT chunk_no, class_id, copies FROM k JOIN c USING (gs)""",
+        "p9_members": """WITH t AS (SELECT text, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE length(text) >= 400 GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM documents JOIN t USING (text)""",
         "p8_found": r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
             iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
             dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM dw),
