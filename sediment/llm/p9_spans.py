@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 400
@@ -234,12 +234,28 @@ def found(documents: DataFrame, length: int = LENGTH, expand: int | None = EXPAN
     return every.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
-def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_chars, n_shared, share, n_partners of every document with a text: how much of it lies in a span that stands elsewhere too.
+def covered(text: str, spans: list[tuple[int, int]], length: int) -> int:
+    """Characters of a text in stretches of ``length`` that stand in one of its verified spans, wherever in the text they stand.
 
-    A run that repeats a short unit for much longer than ``length`` has anchors at its ends alone, so the middle of such a
-    run may not count; which documents share something is not affected.
+    Where a text repeats itself only the ends of the repetition have anchors; what stands between them has the same stretches.
     """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < length:
+        return 0
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(_B, len(codes)), dtype=np.uint64)])
+    name = _mix((total[length:] - total[:-length]) * _powers(_B_INV, len(codes))[: len(codes) - length + 1])
+    known = np.zeros(len(name), bool)
+    for s, e in spans:
+        known[s : e - length + 1] = True
+    ends = np.zeros(len(codes) + 1, np.int64)
+    at = np.flatnonzero(np.isin(name, np.unique(name[known])))
+    ends[at] += 1
+    ends[at + length] -= 1
+    return int(np.count_nonzero(np.cumsum(ends)))
+
+
+def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_chars, n_shared, share, n_partners of every document with a text: how much of it lies in stretches of ``length`` characters that stand elsewhere too."""
     same = members(documents, length)
     spans = shared_spans(documents, length, same)
     ends = spans.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.col("a_start").alias("s"), (F.col("a_start") + F.col("n_chars")).alias("e")).unionByName(
@@ -248,11 +264,16 @@ def shares(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     size = same.where("doc_id = class_id").select(F.col("class_id").alias("other"), "copies")
     partners = ends.select("doc_id", "other").distinct().join(size, "other", "left").groupBy("doc_id").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n_partners"))
     spots = ends.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
-    w = Window.partitionBy("doc_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    gain = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(w), F.lit(0))))
-    covered = spots.withColumn("gain", gain).groupBy("doc_id").agg(F.sum("gain").alias("n_shared"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n = [covered(text, [(x["s"], x["e"]) for x in spans], length) for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_shared"])
+
+    marked = spots.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    shared = long_texts(documents, length).dropDuplicates(["doc_id"]).join(marked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_shared bigint")
     every = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
     rows = every.join(same, "doc_id", "left").withColumn("rep", F.coalesce("class_id", "doc_id"))
-    rows = rows.join(covered.withColumnRenamed("doc_id", "rep"), "rep", "left").join(partners.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    rows = rows.join(shared.withColumnRenamed("doc_id", "rep"), "rep", "left").join(partners.withColumnRenamed("doc_id", "rep"), "rep", "left")
     n = F.when(F.col("copies").isNotNull(), F.col("n_chars")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("bigint")
     return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), n.alias("n_shared"), F.round(F.coalesce(F.try_divide(n, "n_chars"), F.lit(0.0)), 6).alias("share"), (F.coalesce("n_partners", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("bigint").alias("n_partners"))
