@@ -141,14 +141,32 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node): strongly connected components by colouring.
 
-    Nodes that cannot lie on a cycle are components of their own and take no part.  Among the others colours run along edges
-    until each node has the least node that reaches it; what reaches the colour's root back within the colour is the root's
-    component; the rest goes round again.
+    Nodes that cannot lie on a cycle are components of their own and take no part.  Nodes with edges both ways are merged, which
+    is all of most cycles, and what then cannot lie on one drops out again.  Among the rest colours run along edges until each
+    node has the least node that reaches it; what reaches the colour's root back within the colour is the root's component;
+    the others go round again.
     """
     e = trimmed(edges)
+    inside = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    both = cut(e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"))
+
+    def merge(s: DataFrame) -> DataFrame:
+        into = both.join(s.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
+        return s.drop("changed").join(into, "node", "left").select("node", F.least("label", F.coalesce("c", "label")).alias("label"), F.coalesce(F.col("c") < F.col("label"), F.lit(False)).alias("changed"))
+
+    label = _fixpoint(inside.select("node", F.col("node").alias("label"), F.lit(True).alias("changed")), merge, "changed")
+    side = lambda s: label.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    e = trimmed(e.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")))
+    merged = _colored(e)
+    found = label.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    alone = nodes.select("node").where("node IS NOT NULL").distinct().join(label, "node", "left_anti")
+    return alone.select("node", F.col("node").alias("component")).unionAll(found)
+
+
+def _colored(e: DataFrame) -> DataFrame:
+    """node, component of the nodes of edges, by colouring."""
     left = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    alone = nodes.select("node").where("node IS NOT NULL").distinct().join(left, "node", "left_anti")
-    done = alone.select("node", F.col("node").alias("component"))
+    done = left.select("node", F.col("node").alias("component")).limit(0)
     while not left.isEmpty():
 
         def spread(s: DataFrame) -> DataFrame:
@@ -171,9 +189,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def circular_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes of components of more than one node."""
-    c = components(nodes, edges)
+def circular_nodes(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Nodes of components of more than one node; the components may be given."""
+    c = known if known is not None else components(nodes, edges)
     return c.join(c.groupBy("component").agg(F.count("*").alias("k")).where("k > 1"), "component", "left_semi").select("node")
 
 
@@ -234,9 +252,9 @@ def elementary(arcs: list[tuple], max_cycles: int) -> Iterator[list]:
                             waiting.setdefault(x, set()).add(node)
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, max_cycles: int = 10_000) -> DataFrame:
+def cycles(nodes: DataFrame, edges: DataFrame, max_cycles: int = 10_000, known: DataFrame | None = None) -> DataFrame:
     """component, nodes, length, complete: elementary cycles of each component, at most ``max_cycles`` of one (their number can be exponential; circular_nodes needs none); complete says whether these are all of the component."""
-    c = cut(components(nodes, edges))
+    c = known if known is not None else cut(components(nodes, edges))
     e = simple(edges)
     inner = e.join(c.select(F.col("node").alias("src"), "component"), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("component", "src", "dst")
     kind = dict(e.dtypes)["src"]

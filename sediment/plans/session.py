@@ -76,9 +76,13 @@ class Analysis:
     def degrees(self) -> DataFrame:
         return G.cut(G.degrees(self.nodes, self.id_edges).withColumnRenamed("node", "file_id"))
 
+    @cached_property
+    def components(self) -> DataFrame:
+        return G.cut(G.components(self.nodes, self.id_edges))
+
     @cached_property
     def circular(self) -> DataFrame:
-        return G.cut(G.circular_nodes(self.nodes, self.id_edges).withColumnRenamed("node", "file_id"))
+        return G.cut(G.circular_nodes(self.nodes, self.id_edges, self.components).withColumnRenamed("node", "file_id"))
 
     @cached_property
     def analyzed(self) -> DataFrame | None:
@@ -134,7 +138,7 @@ class Analysis:
             nodes=lambda: self.manifest.select("file_id", "repo", "path"),
             degrees=lambda: self.degrees,
             edges=lambda: self.id_edges,
-            cycles=lambda: G.cycles(self.nodes, self.id_edges).select("nodes", "length"),
+            cycles=lambda: G.cut(G.cycles(self.nodes, self.id_edges, known=self.components).select("nodes", "length")),
             order=order,
             classes=lambda: Y.classes(self.symbols),
             functions=lambda: self.function_scores,

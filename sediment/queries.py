@@ -8,6 +8,7 @@ components) and ``trade`` (nations and their two best partners, cyclic, 25 nodes
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,14 +131,20 @@ def facts(s: SparkSession, d: str) -> N.Facts:
     files, contents, symbols = t(s, d, "files"), t(s, d, "contents"), t(s, d, "symbols")
     man = M.manifest(files)
 
+    @cache
+    def components() -> DataFrame:
+        return G.cut(G.components(file_nodes(s, d), f.edges))
+
+    def circular() -> DataFrame:
+        return G.circular_nodes(file_nodes(s, d), f.edges, components()).withColumnRenamed("node", "file_id")
+
     def scored_() -> DataFrame:
         coupling = f.degrees.select("file_id", F.col("out_degree").alias("coupling"))
         errors = symbols.groupBy("file_id").agg(F.max(F.coalesce("parse_error", F.lit(False))).alias("parse_error"))
-        circular = G.circular_nodes(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id")
-        return C.scores(M.with_lines(files, contents), Y.file_counts(symbols), C.file_complexity(f.functions), coupling, circular, errors)
+        return G.cut(C.scores(M.with_lines(files, contents), Y.file_counts(symbols), C.file_complexity(f.functions), coupling, circular(), errors))
 
     def order() -> DataFrame:
-        ring = G.circular_nodes(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id").join(f.nodes, "file_id").select("repo").distinct()
+        ring = circular().join(f.nodes, "file_id").select("repo").distinct()
         kept = f.nodes.join(ring, "repo", "left_anti").select("file_id")
         e = f.edges.join(kept.select(F.col("file_id").alias("src")), "src", "left_semi").join(kept.select(F.col("file_id").alias("dst")), "dst", "left_semi")
         return G.levels(kept.withColumnRenamed("file_id", "node"), e).withColumnRenamed("node", "file_id")
@@ -149,9 +156,9 @@ def facts(s: SparkSession, d: str) -> N.Facts:
         totals=lambda: Y.totals(symbols),
         scored=scored_,
         nodes=lambda: man.select("file_id", "repo", "path"),
-        degrees=lambda: G.degrees(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id"),
+        degrees=lambda: G.cut(G.degrees(file_nodes(s, d), f.edges).withColumnRenamed("node", "file_id")),
         edges=lambda: G.cut(import_graph(s, d)),
-        cycles=lambda: G.cycles(file_nodes(s, d), f.edges).select("nodes", "length"),
+        cycles=lambda: G.cut(G.cycles(file_nodes(s, d), f.edges, known=components()).select("nodes", "length")),
         order=order,
         classes=lambda: Y.classes(symbols),
         functions=lambda: function_rows(s, d),
